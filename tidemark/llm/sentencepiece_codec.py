@@ -140,7 +140,10 @@ class ChunkTable:
         return pa.array(self.model.decode(lists, num_threads=1) if lists else [], pa.string())
 
 
-table = cache(ChunkTable)
+@cache
+def table(path: str) -> ChunkTable:
+    """One table for each Python worker."""
+    return ChunkTable(path)
 
 
 def _with(df: DataFrame, source: str, added: str, kind: T.DataType, step, keep: list[str] | None, max_batch_bytes: int) -> DataFrame:

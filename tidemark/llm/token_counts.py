@@ -173,7 +173,10 @@ class TokenCounter:
         return out
 
 
-counter = cache(TokenCounter)
+@cache
+def counter(path: str) -> TokenCounter:
+    """One counter for each Python worker."""
+    return TokenCounter(path)
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512, keep: list[str] | None = None, max_batch_bytes: int = 4 << 20) -> DataFrame:
