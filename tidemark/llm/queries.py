@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import sentencepiece_codec, token_counts
+from tidemark.llm import chat_format, pii, quality_rules, sentencepiece_codec, token_counts
 from tidemark.llm.common import hex_of
 
 
@@ -30,6 +30,57 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, by a decision list learned from labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.fit_rules(docs, _table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(docs, rules, keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = pii.fit_trees(docs)
+    found = pii.find_spans(docs, trees, keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii.BASE), hex_of(pii.span_text(F.col("base"))).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation expanded into examples and read back from them."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    examples = chat_format.expand_turns(rows)
+    read = examples.select(
+        "conv_id",
+        F.when(F.col("target_turn").isNotNull(), F.struct("target_turn", chat_format.trained_text(examples).alias("text"))).alias("loss"),
+        F.when(F.col("last"), F.col("formatted")).alias("whole"),
+        F.char_length("formatted").cast("long").alias("chars"),
+    )
+    conv = read.groupBy("conv_id").agg(F.array_sort(F.collect_list("loss")).alias("loss"), F.element_at(F.collect_list("whole"), 1).alias("whole"), F.sum("chars").alias("formatted_chars"))
+    parsed = conv.select(
+        "conv_id",
+        F.array_join(F.transform("loss", lambda x: x["text"]), "").alias("loss"),
+        chat_format.parsed_turns(F.col("whole")).alias("turns"),
+        "formatted_chars",
+    )
+    return parsed.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        hex_of(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        hex_of(F.col("loss")).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every whole text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,8 +89,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_rules": op2_quality_rules,
+    "op7_pii": op7_pii,
+    "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
 
+_OP9_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), lines AS (
+  SELECT *,
+    4 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c')) + 2
+      + length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) + 8 AS chars,
+    row_number() OVER w AS pos
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sums AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY pos) AS upto,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM lines
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR pos = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM sums GROUP BY conv_id
+"""
+
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_format": _OP9_SQL}
