@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, pii, quality_rules, sentencepiece_codec, token_counts
+from tidemark.llm import chat_format, near_dedup, pii, quality_rules, sentencepiece_codec, token_counts
 from tidemark.llm.common import hex_of
 
 
@@ -38,6 +38,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near copies."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every whole text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,6 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_pii": op7_pii,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
