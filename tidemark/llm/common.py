@@ -52,10 +52,12 @@ def drop_written(df: DataFrame) -> None:
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose text column holds about max_bytes at most (one row at least)."""
+    """Cut a batch into runs of rows whose text or list column holds about max_bytes at most (one row at least)."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    held = batch.column(column)
+    sizes = pc.multiply(pc.list_value_length(held), 4) if pa.types.is_list(held.type) else pc.binary_length(held)
+    sizes = np.asarray(pc.fill_null(sizes, 0), dtype=np.int64)
     group = np.cumsum(sizes) // max_bytes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):

@@ -23,7 +23,7 @@ from tidemark.llm.common import slices
 
 MARK = "▁"
 #: Distinct marked words that a task remembers before it starts afresh.
-MEMORY = 500_000
+MEMORY = 200_000
 _MARKED = re.compile("( +[^ ]*)")
 
 
@@ -154,17 +154,13 @@ def _with(df: DataFrame, source: str, added: str, kind: T.DataType, step, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            if pa.types.is_string(whole.column(source).type):
-                cut = slices(whole, source, max_batch_bytes)
-            else:
-                cut = (whole.slice(i, 500) for i in range(0, whole.num_rows, 500))
-            for batch in cut:
+            for batch in slices(whole, source, max_batch_bytes):
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), step(batch.column(source))], [f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", add_end: bool = True, keep: list[str] | None = None, max_batch_bytes: int = 4 << 20) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", add_end: bool = True, keep: list[str] | None = None, max_batch_bytes: int = 2 << 20) -> DataFrame:
     """df's columns (or those in keep) with ids: what the library's encode gives for each whole text, then its end id.
 
     A null or empty text has the end id alone (no id without add_end). Rows keep their number, repeated rows each
@@ -174,7 +170,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", add_e
     return _with(df, text, ids, T.ArrayType(T.IntegerType()), lambda x: table(path).encode(x, add_end), keep, max_batch_bytes)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None, max_batch_bytes: int = 4 << 20) -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None, max_batch_bytes: int = 2 << 20) -> DataFrame:
     """df's columns (or those in keep) with text: what the library's decode gives for each list of ids; empty for null.
 
     A column named like text is replaced.
