@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, near_dedup, pii, quality_rules, sentencepiece_codec, token_counts
+from tidemark.llm import chat_format, decontamination, language_id, license_scan, near_dedup, pii, quality_rules, sentencepiece_codec, token_counts, warc
 from tidemark.llm.common import hex_of
 
 
@@ -38,11 +38,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near copies."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them through their index."""
+    directory = warc.write_archives(warc.captures(_table(spark, sf_dir, "pages")))
+    return warc.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that reads like a licence, with its family."""
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit_classifier(docs))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every whole text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +69,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.BASE), hex_of(pii.span_text(F.col("base"))).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, by prototypes of the documents that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    prototypes = language_id.fit_prototypes(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.drop("lang"), prototypes, keep=["doc_id", "held_out"])
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation expanded into examples and read back from them."""
     said = F.lit("\\### Assistant: </turn> ok")
@@ -95,8 +120,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_warc": op5_warc,
+    "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
+    "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
