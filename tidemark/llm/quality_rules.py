@@ -115,7 +115,7 @@ class Rule:
         return " and ".join(f"{n} {'>=' if above else '<'} {at:.6g}" for n, above, at in self.conditions)
 
 
-def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float = 0.97, min_cover: int = 5, max_conditions: int = 3, max_rules: int = 24, cuts: int = 24) -> list[Rule]:
+def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float = 0.97, min_cover: int = 10, max_conditions: int = 3, max_rules: int = 24, cuts: int = 24) -> list[Rule]:
     """The decision list of labelled rows (features, is it bad?), by sequential covering. No bad rows, no rules."""
     grow = [r for i, r in enumerate(rows) if i % 3]
     prune = [r for i, r in enumerate(rows) if not i % 3]
@@ -158,7 +158,8 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float
         options = [Rule(tuple(conditions[:k])) for k in range(len(conditions), 0, -1)]
         rule = max(options, key=lambda r: ((w := worth(r, prune))[0], w[1]))
         precision, cover = worth(rule, grow + prune)
-        if precision < min_precision or cover < min_cover or worth(rule, prune)[0] < min_precision:
+        # few hits prove little: two imagined ones, of which one is wrong, must leave most of the precision
+        if precision < min_precision or cover < min_cover or (precision * cover + 1) / (cover + 2) < min_precision - 0.05 or worth(rule, prune)[0] < min_precision:
             break
         out.append(rule)
         grow = [r for r in grow if not rule.covers(r[0])]
@@ -166,10 +167,16 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float
     return out
 
 
-def fit_rules(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = 6000, **options) -> list[Rule]:
+def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
+    """Fewer than min_words words, or more than max_repeat_percent of them in repeated windows."""
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def fit_rules(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = 6000, min_words: int = 20, max_repeat_percent: int = 30, **options) -> list[Rule]:
     """Learn a decision list from at most sample labelled documents (of 0 in the label column: bad), taken by a hash of their key.
 
-    Null keys and labels are passed over; of a key with several labels the least counts.
+    Documents that fail the base rules are left out, as no rule need find them. Null keys and labels are passed over; of
+    a key with several labels the least counts.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -181,6 +188,7 @@ def fit_rules(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     # the sample is bounded by its parameter, so it may be sent to every executor
     joined = df.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
     stats = text_statistics(joined, keep=["__key", "__label"])
+    stats = stats.where(~base_failed(min_words, max_repeat_percent))
     found = stats.select("__key", "__label", *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items())).collect()
     found.sort(key=lambda r: (str(r["__key"]), tuple(r)))
     return learn_rules([({n: r[n] for n in FEATURES}, r["__label"] == 0) for r in found[: 2 * sample]], **options)
@@ -205,5 +213,5 @@ def judge(df: DataFrame, rules: list[Rule], text: str = "text", keep: list[str]
     names = {"base_failed", "rule", "kept"}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     kept, number = verdict(rules)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    failed = base_failed(min_words, max_repeat_percent)
     return text_statistics(df, text, keep).withColumn("base_failed", failed).withColumn("rule", number).withColumn("kept", ~F.col("base_failed") & kept)
