@@ -13,9 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The ASCII white space that separates words (space, tab to carriage return).
-ASCII_SPACE = " \t\n\x0b\f\r"
-#: The same as a Java character class.
+#: The ASCII white space that separates words (space, tab to carriage return), as a Java character class.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 

@@ -13,12 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_SPACE, SPACE_CLASS, words
+from tidemark.llm.common import SPACE_CLASS, words
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MARKS = "!?|=_~^"
+SYMBOLS = "[#*$%&|<>]"
 
 #: Ratios that the rules look at, from the columns of text_statistics().
 FEATURES: dict[str, str] = {
@@ -26,11 +24,9 @@ FEATURES: dict[str, str] = {
     "mean_word": "word_chars / greatest(n_words, 1)",
     "symbol_share": "n_symbols / greatest(word_chars, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
-    "mark_share": "n_marks / greatest(word_chars, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
-    "distinct_share": "n_distinct_words / greatest(n_words, 1)",
 }
 
 
@@ -39,16 +35,21 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _removed(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+def _without(text: Column, characters: str) -> Column:
+    """Code points that are left when a Java character class is taken out."""
+    return F.char_length(F.regexp_replace(text, characters + "+", ""))
+
+
+def _joined(hashes: Column, step: int) -> Column:
+    """From hashes of runs of `step` elements those of runs twice as long; runs over the end are cut short."""
+    return F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + step)))
 
 
 def _repeated(tokens: Column) -> Column:
-    """Words in windows of eight that occur twice or more in the text."""
-    windows = let(
-        F.transform(tokens, lambda w: F.xxhash64(w)),
-        lambda h: F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))),
-    )
+    """Words in windows of eight that occur twice or more in the text.
+
+    Hashes of two, four and eight words are built from each other; a text that repeats no four words repeats no eight.
+    """
 
     def covered(w: Column) -> Column:
         ordered = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -63,16 +64,21 @@ def _repeated(tokens: Column) -> Column:
         )
         return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b))
 
-    return let(windows, lambda w: F.when(w.isNull() | (F.size(F.array_distinct(w)) == F.size(w)), F.lit(0)).otherwise(covered(w)))
+    def of_eight(fours: Column) -> Column:
+        windows = let(_joined(fours, 4), lambda w: F.slice(w, 1, F.size(w) - (WINDOW - 1)))
+        return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
+
+    fours = let(tokens, lambda t: let(_joined(t, 1), lambda h: _joined(h, 2)))
+    return let(fours, lambda f: F.when((F.size(f) < WINDOW) | (F.size(F.array_distinct(f)) == F.size(f)), F.lit(0)).otherwise(of_eight(f)))
 
 
 def text_statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep) with the statistics of every whole text, all long.
 
-    n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_repeat_words, n_distinct_words,
-    n_upper and n_marks. A null text counts as empty: all are 0. Columns of df with these names are replaced.
+    n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_repeat_words and
+    n_upper (A-Z). A null text counts as empty: all are 0. Columns of df with these names are replaced.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_marks")
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     plain = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__words", words(F.col("__text")))
     t = F.col("__text")
@@ -83,14 +89,12 @@ def text_statistics(df: DataFrame, text: str = "text", keep: list[str] | None =
     found = plain.withColumns({"__lines": lines, "__repeated": _repeated(F.col("__words"))})
     columns = {
         "n_words": F.size("__words"),
-        "word_chars": F.char_length(F.translate(t, ASCII_SPACE, "")),
-        "n_symbols": _removed(t, SYMBOLS),
+        "word_chars": F.char_length(F.array_join("__words", "")),
+        "n_symbols": F.char_length(t) - _without(t, SYMBOLS),
         "n_lines": F.col("__lines.n"),
         "n_dup_lines": F.col("__lines.dup"),
         "n_repeat_words": F.col("__repeated"),
-        "n_distinct_words": F.size(F.array_distinct("__words")),
-        "n_upper": _removed(t, UPPER),
-        "n_marks": _removed(t, MARKS),
+        "n_upper": F.char_length(t) - _without(t, "[A-Z]"),
     }
     return found.select(*(F.col(f"`{c}`") for c in keep), *(v.cast("long").alias(k) for k, v in columns.items()))
 
@@ -188,8 +192,9 @@ def fit_rules(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     # the sample is bounded by its parameter, so it may be sent to every executor
     joined = df.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
     stats = text_statistics(joined, keep=["__key", "__label"])
-    stats = stats.where(~base_failed(min_words, max_repeat_percent))
-    found = stats.select("__key", "__label", *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items())).collect()
+    # base failures leave on the driver: Catalyst would push that filter, and the statistics with it, below the join
+    found = stats.select("__key", "__label", base_failed(min_words, max_repeat_percent).alias("__failed"), *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items())).collect()
+    found = [r for r in found if not r["__failed"]]
     found.sort(key=lambda r: (str(r["__key"]), tuple(r)))
     return learn_rules([({n: r[n] for n in FEATURES}, r["__label"] == 0) for r in found[: 2 * sample]], **options)
 
