@@ -210,6 +210,17 @@ def brush_truncated(spark, sf_dir):
     return lookup.brushed_counts(_slice(spark, sf_dir, [Q], [50], View1D(P)), [(10.25, 35.5)], truncate=True)
 
 
+_SWEEP = [(start, start + width) for start in range(0, 500, 25) for width in range(25, 501 - start, 25)]
+
+
+@query("brush_sweep", f"""WITH r AS ({rows_sql([Q], [500], View1D(P), _OTHER)}), c AS (SELECT pixel, key, count(*) AS n FROM r WHERE pixel > 0 GROUP BY ALL),
+  b AS (SELECT row_number() OVER (ORDER BY a, z) - 1 AS brush, a, z FROM (SELECT a, z FROM range(0, 500, 25) s(a), range(25, 501, 25) t(z) WHERE z > a)), g AS (SELECT * FROM b, range({P.config.count}) k(key))
+  SELECT CAST(g.brush AS INTEGER) AS brush, CAST(g.key AS INTEGER) AS key, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS value FROM g LEFT JOIN c ON c.key = g.key AND c.pixel > g.a AND c.pixel <= g.z GROUP BY g.brush, g.key""")
+def brush_sweep(spark, sf_dir):
+    """210 brushes of all widths answered from one slice in one job."""
+    return lookup.brush_sweep(_slice(spark, sf_dir, [Q], [500], View1D(P)), [[b] for b in _SWEEP])
+
+
 @query("progressive_coarse", cube_sql([Q], [10], View1D(P), _OTHER))
 def progressive_coarse(spark, sf_dir):
     """A coarse slice out of a fine one, without the table."""

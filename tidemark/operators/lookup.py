@@ -70,6 +70,25 @@ def brushed_counts(slice_: CubeSlice, brush: Sequence[tuple[float, float]], trun
     return slice_.no_brush.select(*slice_.keys).join(found, list(slice_.keys), "left").select(*slice_.keys, F.coalesce("value", F.lit(0)).alias("value"))
 
 
+def brush_sweep(slice_: CubeSlice, brushes: Sequence[Sequence[tuple[int, int]]]) -> DataFrame:
+    """(brush, keys, value): the counts under each of many brushes in whole pixels, in one job; brush is the position in the list.
+
+    The brushes' corners (four for each at most) are broadcast and met with the slice's running sums.
+    """
+    corners = []
+    for i, brush in enumerate(brushes):
+        cells: list[tuple[tuple[int, ...], int]] = [((), 1)]
+        for low, high in brush:
+            cells = [((*at, pixel), sign * weight) for at, sign in cells for pixel, weight in _weights(*ordered((low, high))).items()]
+        corners += [(i, *at, weight) for at, weight in cells]
+    spark = slice_.cumulative.sparkSession
+    table = spark.createDataFrame(corners, ", ".join(["brush int", *(f"{a} int" for a in slice_.axes), "weight long"]))
+    met = slice_.cumulative.join(F.broadcast(table), list(slice_.axes)).groupBy("brush", *slice_.keys).agg(F.sum(F.col("cum") * F.col("weight")).alias("value"))
+    every = slice_.no_brush.drop("cnt") if slice_.keys else spark.range(1).select()
+    every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(brushes) - 1))).alias("brush"))
+    return every.join(met, ["brush", *slice_.keys], "left").select("brush", *slice_.keys, F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+
+
 def cleared(slice_: CubeSlice) -> DataFrame:
     """(keys, value) of the passive view without a brush on the active one."""
     return slice_.no_brush.withColumnRenamed("cnt", "value")
