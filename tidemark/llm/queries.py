@@ -154,5 +154,35 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM sums GROUP BY conv_id
 """
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = "list_distinct([array_to_string(w[p : p + k - 1], chr(1)) for p in range(1, len(w) - k + 2)])"
+
+_OP3_SQL = f"""
+WITH i AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+item AS (SELECT item_id, k, len(s) AS n_item, unnest(s) AS shingle FROM (SELECT item_id, k, {_SHINGLES} AS s FROM i)),
+d AS (SELECT doc_id, w, ks.k FROM (SELECT doc_id, {_WORDS} AS w FROM documents) d, (SELECT DISTINCT k FROM i) ks WHERE len(w) >= ks.k),
+doc AS (SELECT doc_id, k, unnest(s) AS shingle FROM (SELECT doc_id, k, {_SHINGLES} AS s FROM d))
+SELECT doc_id, item_id, count(*) AS n_shared, CAST(n_item AS BIGINT) AS n_item FROM doc JOIN item USING (k, shingle)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
+_OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, w, least(len(w), 5) AS k FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+s AS MATERIALIZED (SELECT doc_id, k, CASE WHEN k > 0 THEN {_SHINGLES} ELSE [] END AS s FROM d),
+sh AS MATERIALIZED (SELECT doc_id, k, len(s) AS n, unnest(s) AS shingle FROM s),
+link AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b USING (k, shingle) GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.to_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
+
+_OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS head FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN head <> page_id THEN head END AS refers_to FROM f
+"""
+
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op9_chat_format": _OP9_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": _OP3_SQL, "op4_near_duplicates": _OP4_SQL, "op5_warc": _OP5_SQL, "op9_chat_format": _OP9_SQL}
