@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.odd import documents, texts
@@ -59,8 +60,10 @@ def test_groups_equal_brute_force(spark):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
-def test_blocks_compare_all(spark, monkeypatch):
+@pytest.mark.parametrize("most", [64, 1])
+def test_blocks_compare_all(spark, monkeypatch, most):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "MOST_BLOCKS", most)
     rows = family_rows()[:120]
     out = near_dedup.near_duplicates(documents(spark, rows), percent=80).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows, 80)

@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
+from tidemark.llm.bloom import bloom_filter, may_hold
 from tidemark.llm.common import slices
 
 MISS = 1e-6
-#: Bits of the filter that keeps foreign shingles from leaving a task: its size is fixed, so it may be broadcast.
-FILTER_BITS = 24
-_PROBES = 3
 
 
 def plan_for(size: int, percent: int, widest: int = 32, miss: float = MISS) -> tuple[int, int]:
@@ -66,10 +64,6 @@ def _items(percent: int, widest: int):
     return run
 
 
-def _positions(hashes: np.ndarray) -> list[np.ndarray]:
-    return [(hashes >> np.uint64(64 - FILTER_BITS - 7 * i)) & np.uint64((1 << FILTER_BITS) - 1) for i in range(_PROBES)]
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", widest: int = 32) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) where a document holds at least percent of an item's distinct shingles.
 
@@ -81,15 +75,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, key: str =
     spark = docs.sparkSession
     wanted = items.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null")
     table = wanted.mapInArrow(_items(percent, widest), "item_id long, shingle long, sketched boolean, n_item long, need int, width int")
-    marks = table.select(F.explode(F.array(*(F.expr(f"shiftrightunsigned(shingle, {64 - FILTER_BITS - 7 * i}) & {(1 << FILTER_BITS) - 1}") for i in range(_PROBES)))).alias("bit"), "width")
-    grouped = marks.groupBy(F.expr("bit >> 5").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"), F.bit_or(F.expr("shiftleft(1, width)")).alias("widths")).collect()
-    held = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    widths = 0
-    for r in grouped:
-        held[r["word"]] = r["bits"]
-        widths |= r["widths"]
-    widths = [w for w in range(1, shingles.SIZE + 1) if widths >> w & 1]
-    shared = spark.sparkContext.broadcast(held)
+    widths = sorted(r["width"] for r in table.select("width").distinct().collect())  # of 1 to 5
+    shared = spark.sparkContext.broadcast(bloom_filter(table.select("shingle")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -102,10 +89,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, key: str =
                         if len(words) < width:
                             continue
                         found = shingles.window_hashes(words, width)
-                        inside = np.ones(len(found), dtype=bool)
-                        for at in _positions(found):
-                            inside &= (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-                        found = np.unique(found[inside])
+                        found = np.unique(found[may_hold(bits, found)])
                         ids.append(np.full(len(found), doc, dtype=np.int64))
                         hits.append(found.view(np.int64))
                 if ids:

@@ -5,10 +5,10 @@ in a random order of its own and its value at the j-th visit lies in [j, j+1), s
 components and a document stops as soon as no later visit can lower any of them. Documents that agree in a whole
 band meet in a bucket.
 
-Exact copies collapse to one representative first. In each bucket every member is compared with the bucket's least
-member; where that does not join the whole bucket, members of different groups are compared by signature, a block of
-members against another at a time, and what may reach the threshold is verified. All links are confirmed on full
-shingle sets.
+Exact copies collapse to one representative first. Documents that meet in buckets form families, and the members of a
+family are compared by signature, then on full sets, by falling similarity and only until they belong together. Larger
+families are cut into blocks, of which two at a time are compared: a link from each member to its least bucket mate joins
+most of them first, and the largest group is not compared with itself again. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import bloom_filter, may_hold
 from tidemark.llm.common import slices, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, sets
@@ -31,8 +33,10 @@ SIGNATURE = 192
 MISS = 1e-6
 #: Deviations below the threshold at which an estimate still sends a pair to verification.
 SLACK = 4.5
-#: Members of a bucket that one block holds.
-BLOCK = 1024
+#: Members of a family or bucket that one block holds.
+BLOCK = 512
+#: Blocks up to which the members of a family are compared as one team.
+MOST_BLOCKS = 64
 _UNSET = np.iinfo(np.uint64).max
 _SHIFT = np.uint64(53)
 
@@ -108,66 +112,83 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets(batch.column("text"))], pa.binary())], ["doc_id", "set"])
+def _full_sets(shared):
+    """Sets of the documents that the broadcast filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ids = whole.column("doc_id")
+            near = may_hold(shared.value, pc.fill_null(ids, 0).to_numpy().view(np.uint64)) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            if not near.any():
+                continue
+            for batch in slices(whole.filter(pa.array(near)), "text"):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets(batch.column("text"))], pa.binary())], ["doc_id", "set"])
+
+    return run
+
+
+def _links(percent: int, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets share enough with one."""
+    sizes = np.array([len(o) for o in others], dtype=np.int64)
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    common = np.add.reduceat((one[at] == flat).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+    return 100 * common >= percent * (sizes + len(one) - common)
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            keep = [bool(_links(percent, _ints(x), [_ints(y)])[0]) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    left = full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    right = full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+def _ints(scalar: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(scalar.as_buffer(), dtype=np.uint64)
 
 
-def _compare(percent: int, bands: int, rows: int):
-    """Within two blocks of a bucket, the pairs of different groups whose signatures may reach the threshold.
+def _compare(percent: int):
+    """Links between members of two blocks that do not belong together yet, as few as join them.
 
-    A pair that meets in several buckets is left to that of its first band.
+    Pairs are tried by falling similarity of their signatures, on full sets, until they belong together by earlier ones.
     """
     threshold = percent / 100
     least = math.ceil(SIGNATURE * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SIGNATURE)))
 
     def run(group: pa.Table) -> pa.Table:
-        doc, label, band, side, hub = (group.column(c).to_numpy() for c in ("doc", "label", "band", "block", "hub"))
-        same = bool((group.column("i").to_numpy() == group.column("j").to_numpy())[0])
+        # rows of one document may share its id under several texts
+        group = group.combine_chunks()
+        doc, label, block = (group.column(c).to_numpy() for c in ("doc", "label", "block"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint16).reshape(len(doc), SIGNATURE)
-        first = np.flatnonzero(side == group.column("i").to_numpy()[0])
-        second = first if same else np.flatnonzero(side == group.column("j").to_numpy()[0])
-        left, right = [], []
+        full = [_ints(x) for x in group.column("set")]
+        sizes = np.array([len(x) for x in full])
+        _, root = np.unique(label, return_inverse=True)
+        root = root.astype(np.int64)
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right, score = [], [], []
         for x in first:
-            others = second[(label[second] != label[x]) & (doc[second] != hub[x])]
-            if same:
-                others = others[doc[others] > doc[x]]
-            if doc[x] == hub[x] or not len(others):
-                continue
-            equal = sig[others] == sig[x]
-            near = np.flatnonzero(equal.sum(axis=1) >= least)
-            if len(near):
-                whole = equal[near][:, : bands * rows].reshape(len(near), bands, rows).all(axis=2)
-                near = near[whole.argmax(axis=1) == band[0]]
-            left += [doc[x]] * len(near)
-            right += doc[others[near]].tolist()
-        a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            others = second[second > x] if i == j else second
+            others = others[root[others] != root[x]]
+            others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
+            if len(others):
+                equal = (sig[others] == sig[x]).sum(axis=1)
+                near = equal >= least
+                left.append(np.full(int(near.sum()), x))
+                right.append(others[near])
+                score.append(equal[near])
+        out: list[tuple[int, int]] = []
+        if left:
+            a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+            for k in np.lexsort((b, a, -s)):
+                x, y = int(a[k]), int(b[k])
+                if root[x] != root[y] and _links(percent, full[x], [full[y]])[0]:
+                    out.append((int(doc[x]), int(doc[y])))
+                    root[root == root[y]] = root[x]
+        ends = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": ends.min(axis=1) if len(ends) else ends[:, 0], "b": ends.max(axis=1) if len(ends) else ends[:, 1]})
 
     return run
 
@@ -200,25 +221,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         .agg(F.min(F.struct("band", "bucket")).alias("b"))
         .select("hub", "n", "b.band", "b.bucket")
     )
-    buckets = written(banded.join(kept, ["bucket", "band"]).select("bucket", "band", "hub", "n", "doc"), "buckets")
-    stars = buckets.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    buckets = written(banded.join(kept, ["bucket", "band"]).select("bucket", "hub", "doc"), "buckets")
     met = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    full = written(docs.join(met, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, set binary"), "sets")
-    links = written(_verified(stars, full, percent), "links")
-    grouped = components(links)
-
-    labels = grouped.select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    labelled = buckets.where("n > 2").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    open_ = labelled.join(split, "bucket", "left_semi").withColumn("block", block)
-    open_ = open_.join(own.select(F.col("doc_id").alias("doc"), "signature"), "doc")
-    paired = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    paired = paired.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("n", "other")
-    more = paired.groupBy("bucket", "i", "j").applyInArrow(_compare(percent, bands, rows), "a long, b long").distinct()
-    extra = _verified(more, full, percent)
-    grouped = written(components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "groups")
+    shared = df.sparkSession.sparkContext.broadcast(bloom_filter(met))
+    full = written(docs.mapInArrow(_full_sets(shared), "doc_id long, set binary").join(met, "doc_id", "left_semi").join(own.select("doc_id", "signature"), "doc_id"), "sets")
+
+    # documents that meet in buckets, directly or through others, are a family; links lie within families
+    family = written(components(buckets.where("doc <> hub").select("doc", "hub")), "families").select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    sized = family.join(family.groupBy("family").agg(F.count("*").alias("n")), "family")
+    small = sized.where(F.col("n") <= BLOCK).select("doc", F.col("family").alias("team"), F.col("doc").alias("label"))
+    small = small.select("*", *(F.lit(0).alias(c) for c in ("block", "i", "j")), F.lit(False).alias("by_bucket"))
+
+    # in larger ones a link to each document's least bucket mate joins most, and only what stays apart is compared
+    large = sized.where(F.col("n") > BLOCK)
+    stars = buckets.where("doc <> hub").join(large.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.min("hub").alias("hub"))
+    left = full.select(F.col("doc_id").alias("doc"), F.col("set").alias("set_a"))
+    right = full.select(F.col("doc_id").alias("hub"), F.col("set").alias("set_b"))
+    links = stars.join(left, "doc").join(right, "hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"), "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+    links = written(links, "links")
+    labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    # of a family too large even for blocks, each bucket is a team of its own
+    teams = large.where(F.col("n") <= BLOCK * MOST_BLOCKS).select("doc", F.col("family").alias("team"), F.lit(False).alias("by_bucket"))
+    teams = teams.union(buckets.join(large.where(F.col("n") > BLOCK * MOST_BLOCKS), "doc", "left_semi").select("doc", F.col("bucket").alias("team"), F.lit(True).alias("by_bucket")))
+    teams = teams.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    by_label = teams.groupBy("by_bucket", "team", "label").agg(F.count("*").alias("n"))
+    main = by_label.groupBy("by_bucket", "team").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    main = main.where("main.n < n").select("by_bucket", "team", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("outer"))
+    blocks = teams.join(main, ["by_bucket", "team"])
+    hashed = F.xxhash64("doc")
+    # blocks from 0 hold what is apart, those after them the main group, which is not compared with itself
+    blocks = blocks.withColumn("block", F.when(F.col("label") == F.col("main"), F.col("outer") + F.pmod(hashed, F.col("inner"))).otherwise(F.pmod(hashed, F.col("outer"))).cast("int"))
+    last = F.when(F.col("label") == F.col("main"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    blocks = blocks.select("doc", "team", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "by_bucket")
+    teams = small.unionByName(blocks).join(full.withColumnRenamed("doc_id", "doc"), "doc")
+    extra = teams.groupBy("by_bucket", "team", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    grouped = written(components(written(links.union(extra), "links")), "groups")
 
     joined = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left").join(grouped.withColumnRenamed("node", "doc"), "doc", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id"))
