@@ -22,12 +22,16 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, written
+from tidemark.llm.common import shared_dir, slices, written
 
 #: Captures in an index block.
 BLOCK_LINES = 256
 #: Payloads shorter than this are never revisits.
 LEAST_BYTES = 1000
+#: Shared payloads (some 100 bytes each) up to which they are broadcast.
+MOST_BROADCAST = 100_000
+#: Archive bytes that a task reads back, about.
+READ_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 _CAPTURE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
@@ -56,7 +60,10 @@ def captures(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
     )
     # a payload that occurs once needs no lookup; digests and ids are combined before the shuffle
     shared = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, ["payload_digest", "payload_bytes"], "left")
+    shared = written(shared, "payloads")
+    # few shared payloads are sent to every executor, which spares the pages a shuffle; more are joined by one
+    side = F.broadcast(shared) if shared.count() <= MOST_BROADCAST else shared
+    joined = rows.join(side, ["payload_digest", "payload_bytes"], "left")
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id",
@@ -155,18 +162,17 @@ def write_archives(df: DataFrame, folder: str | None = None, partitions: int | N
             rows.append((name, first, last, block_at, len(block), len(lines), begun, where - begun))
             block_at, begun, lines = block_at + len(block), where, []
 
-        for batch in batches:
-            for page in batch.to_pylist():
-                if warc is None:
-                    store.create_dir(at, recursive=True)
-                    warc = store.open_output_stream(f"{at}/{name}.warc.gz", compression=None)
-                    index = store.open_output_stream(f"{at}/{name}.cdx.gz", compression=None)
-                raw = _gzip(record(page))
-                warc.write(raw)
-                lines.append(json.dumps([page["key"], page["page_id"], where, len(raw)]))
-                where += len(raw)
-                if len(lines) == block_lines:
-                    close_block()
+        for page in (p for batch in batches for part in slices(batch, "payload", 1 << 20) for p in part.to_pylist()):
+            if warc is None:
+                store.create_dir(at, recursive=True)
+                warc = store.open_output_stream(f"{at}/{name}.warc.gz", compression=None)
+                index = store.open_output_stream(f"{at}/{name}.cdx.gz", compression=None)
+            raw = _gzip(record(page))
+            warc.write(raw)
+            lines.append(json.dumps([page["key"], page["page_id"], where, len(raw)]))
+            where += len(raw)
+            if len(lines) == block_lines:
+                close_block()
         if warc is not None:
             if lines:
                 close_block()
@@ -214,7 +220,11 @@ def read_archives(directory: DataFrame) -> DataFrame:
                     pages.append(page)
                 yield _table(pages)
 
-    blocks = directory.repartition(F.col("archive"), F.col("at"))
+    size = directory.agg(F.count("*").alias("n"), F.sum("warc_size").alias("bytes")).first()
+    least = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of its own: rows of the directory are small, and would be read back by few tasks
+    parts = max(1, min(size["n"], max(least, (size["bytes"] or 0) // READ_BYTES)))
+    blocks = directory.repartition(parts, F.col("archive"), F.col("at"))
     return blocks.mapInArrow(run, _CAPTURE)
 
 
