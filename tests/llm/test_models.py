@@ -40,7 +40,8 @@ def test_ngram_vectors_are_bound_letters():
     a, b, space = (v.of_letter(ord(c)) if c != " " else v.of_letter(0) for c in "ab ")
     want = {"_aa": (space, a, a), "aab": (a, a, b), "ab_": (a, b, space), "b_a": (b, space, a), "_ab": (space, a, b)}
     total = sum(np.roll(x, 2) * np.roll(y, 1) * z * (2 if k == "ab_" else 1) for k, (x, y, z) in want.items())
-    assert (v.bundle(grams, counts) == total).all()
+    both = v.bundles([(grams, counts), v.grams("zq ab"), (grams[:1], counts[:1])])
+    assert (both[0] == total).all() and len(v.bundles([])) == 0
 
 
 def brute_leaks(docs, items, percent):

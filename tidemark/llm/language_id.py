@@ -22,6 +22,8 @@ DIMENSION = 1024
 SEED = 20
 #: n-grams whose vectors a worker remembers before it starts afresh.
 MEMORY = 40_000
+#: Texts whose vectors are made in one matrix product.
+TOGETHER = 128
 UNKNOWN = "und"
 _SPAN = np.int64(1 << 21)
 
@@ -85,9 +87,21 @@ class Vectors:
             at = np.searchsorted(self.known, grams)
         return self.row[at]
 
-    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        at = self.rows(grams)  # may replace the table
-        return counts.astype(np.float32) @ self.table[at]
+    def bundles(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The vectors of texts, given by their n-grams and counts: one matrix product for all of them."""
+        if not found:
+            return np.zeros((0, self.dimension), dtype=np.float32)
+        grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+        text = np.repeat(np.arange(len(found)), [len(g) for g, _ in found])
+        counts = np.concatenate([c for _, c in found])
+        out = np.zeros((len(found), self.dimension), dtype=np.float32)
+        for i in range(0, len(grams), 8192):
+            part = (at >= i) & (at < i + 8192)
+            matrix = np.zeros((len(found), min(8192, len(grams) - i)), dtype=np.float32)
+            matrix[text[part], at[part] - i] = counts[part]
+            rows = self.rows(grams[i : i + 8192])  # may replace the table
+            out += matrix @ self.table[rows]
+        return out
 
 
 @cache
@@ -147,18 +161,16 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
         own = vectors(dimension)
         for long in batches:
             for batch in slices(long, text):
-                said, score = [], []
-                for t in batch.column(text).to_pylist():
-                    grams, counts = own.grams(t)
-                    if not len(grams) or not names:
-                        said.append(UNKNOWN)
-                        score.append(0.0)
-                        continue
-                    total = sum(own.bundle(grams[i : i + 8192], counts[i : i + 8192]) for i in range(0, len(grams), 8192)).astype(np.float64)
-                    total = total / (np.linalg.norm(total) or 1)
-                    best = int(np.argmax(own_part @ total))
-                    said.append(names[best])
-                    score.append(float(min(1.0, max(0.0, whole[best] @ total))))
+                found = [own.grams(t) for t in batch.column(text).to_pylist()]
+                said, score = [UNKNOWN] * len(found), [0.0] * len(found)
+                full = [i for i, (grams, _) in enumerate(found) if len(grams) and names]
+                for part in (full[i : i + TOGETHER] for i in range(0, len(full), TOGETHER)):
+                    total = own.bundles([found[i] for i in part]).astype(np.float64)
+                    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+                    best = np.argmax(total @ own_part.T, axis=1)
+                    cosine = np.clip((total * whole[best]).sum(axis=1), 0.0, 1.0)
+                    for i, k, c in zip(part, best.tolist(), cosine.tolist(), strict=True):
+                        said[i], score[i] = names[k], c
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(said, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema])
 
     return df.mapInArrow(run, schema)
