@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
@@ -182,11 +182,24 @@ def train(background: list[str], variants: int = 40, rounds: int = 250, seed: in
 def fit_classifier(df: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 300, lines: int = 10, **options) -> Classifier:
     """Train with background lines from at most sample documents, taken by a hash of their key, and lines of each.
 
-    Lines that hold two words of the templates' own are left out of the background, as they may be licences.
+    A document's lines are taken by a hash of the line, and of a line of more than 2 * WINDOW words as many words from a
+    place that its hash names, so every part of a text has a chance and the driver gets a bounded number of words. Lines
+    that hold two words of the templates' own are left out of the background, as they may be licences.
     """
     names = {g for ts in TEMPLATES.values() for t in ts for g in tokens(t)} - SMALL
-    short = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.slice(F.split(F.substring(text, 1, 20_000), "\n"), 1, lines).alias("lines"))
-    found = sorted(tuple(r["lines"]) for r in short.orderBy("h", "lines").limit(sample).collect())
+    split = F.filter(F.split(F.col("text"), "\n"), lambda x: F.trim(x) != "")
+    chosen = F.slice(F.array_sort(F.transform(split, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line")))), 1, lines)
+
+    def window(x: Column) -> Column:
+        words = F.split(x["line"], " ")
+        start = F.pmod(x["h"], F.greatest(F.size(words) - 2 * WINDOW, F.lit(0)) + 1).cast("int") + 1
+        return F.array_join(F.slice(words, start, 2 * WINDOW), " ")
+
+    documents = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    taken = documents.select("h").distinct().orderBy("h").limit(sample)
+    # whole texts stay in their tasks; of rows that share a key one counts
+    short = documents.join(F.broadcast(taken), "h").select("h", F.transform(chosen, window).alias("lines")).groupBy("h").agg(F.min("lines").alias("lines"))
+    found = sorted(tuple(r["lines"]) for r in short.collect())
     plain = [x for row in found for x in row if len(names & set(tokens(x))) < 2]
     return train(plain, **options)
 
