@@ -44,8 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether decoding them gives its text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source"), model)
-    both = sentencepiece_codec.decode(ids, model)
+    both = sentencepiece_codec.round_trip(docs.select("doc_id", "text", "lang", "source"), model)
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

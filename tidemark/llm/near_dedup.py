@@ -99,7 +99,7 @@ def bands_for(threshold: float, size: int = SIGNATURE, miss: float = MISS) -> tu
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text", 2 << 20):
+        for batch in slices(whole, "text", 1 << 20):
             found = sets(batch.column("text"))
             full = [i for i, s in enumerate(found) if len(s)]
             signed = super_minhash([found[i] for i in full])

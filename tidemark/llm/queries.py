@@ -20,8 +20,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text decoded from them, as digests."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = sentencepiece_codec.encode(docs, model, keep=["doc_id"])
-    both = sentencepiece_codec.decode(ids, model)
+    both = sentencepiece_codec.round_trip(docs, model, keep=["doc_id"])
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

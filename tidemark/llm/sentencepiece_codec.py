@@ -23,7 +23,7 @@ from tidemark.llm.common import slices
 
 MARK = "▁"
 #: Distinct marked words that a task remembers before it starts afresh.
-MEMORY = 200_000
+MEMORY = 65_536
 _MARKED = re.compile("( +[^ ]*)")
 
 
@@ -146,16 +146,15 @@ def table(path: str) -> ChunkTable:
     return ChunkTable(path)
 
 
-def _with(df: DataFrame, source: str, added: str, kind: T.DataType, step, keep: list[str] | None, max_batch_bytes: int) -> DataFrame:
-    if added != source:
-        df = df.drop(added)
-    kept = [f for f in df.schema.fields if f.name != added and (keep is None or f.name in keep)]
-    schema = T.StructType([*kept, T.StructField(added, kind)])
+def _with(df: DataFrame, source: str, added: dict[str, T.DataType], step, keep: list[str] | None, max_batch_bytes: int) -> DataFrame:
+    df = df.drop(*(set(added) - {source}))
+    kept = [f for f in df.schema.fields if f.name not in added and (keep is None or f.name in keep)]
+    schema = T.StructType([*kept, *(T.StructField(name, kind) for name, kind in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, source, max_batch_bytes):
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), step(batch.column(source))], [f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *step(batch.column(source))], [f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
@@ -167,7 +166,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", add_e
     get their ids, an empty table gives an empty table; a column named like ids is replaced. The model file must be
     readable at path on every executor. No shuffle; a task holds one slice of a batch and a table of bounded size.
     """
-    return _with(df, text, ids, T.ArrayType(T.IntegerType()), lambda x: table(path).encode(x, add_end), keep, max_batch_bytes)
+    return _with(df, text, {ids: T.ArrayType(T.IntegerType())}, lambda x: [table(path).encode(x, add_end)], keep, max_batch_bytes)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None, max_batch_bytes: int = 2 << 20) -> DataFrame:
@@ -175,4 +174,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ke
 
     A column named like text is replaced.
     """
-    return _with(df, ids, text, T.StringType(), lambda x: table(path).decode(x), keep, max_batch_bytes)
+    return _with(df, ids, {text: T.StringType()}, lambda x: [table(path).decode(x)], keep, max_batch_bytes)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", add_end: bool = True, keep: list[str] | None = None, max_batch_bytes: int = 1 << 20) -> DataFrame:
+    """df's columns (or those in keep) with the ids of encode() and the text that decode() makes of them.
+
+    One pass: a task needs one Python worker, and the ids are not sent to a second one. Columns named like ids or
+    decoded are replaced.
+    """
+
+    def step(texts: pa.Array) -> list[pa.Array]:
+        coded = table(path).encode(texts, add_end)
+        return [coded, table(path).decode(coded)]
+
+    return _with(df, text, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, step, keep, max_batch_bytes)

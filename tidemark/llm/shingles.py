@@ -8,7 +8,7 @@ import xxhash
 
 SIZE = 5
 #: Distinct words that a task remembers before it starts afresh.
-MEMORY = 200_000
+MEMORY = 65_536
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SIZE)], dtype=np.uint64)
 
 
