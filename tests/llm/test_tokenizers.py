@@ -42,3 +42,15 @@ def test_counts_equal_library(spark):
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 512)
     assert token_counts.count_tokens(df.limit(0), BYTES).count() == 0
+
+
+def test_round_trip_equals_both_steps(spark):
+    import public_tokenizers
+
+    from tidemark.llm import sentencepiece_codec
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "a  b c", 7), (2, None, 8), (3, "", 9)], "doc_id long, text string, ids int")
+    apart = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    both = sentencepiece_codec.round_trip(docs, model)
+    assert sorted(map(tuple, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(tuple, apart.select("doc_id", "ids", "decoded").collect()))
