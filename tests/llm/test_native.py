@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -51,6 +52,23 @@ def test_rules_separate_labelled_noise(spark):
     assert quality_rules.judge(empty, rules).count() == 0
 
 
+def test_stuffed_words_without_symbols_are_rejected(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    known = [word() for _ in range(200)]
+    rows = [" ".join(rnd.choice(known) for _ in range(rnd.randint(30, 90))) for _ in range(400)]
+    stuffed = range(0, 400, 40)
+    for i in stuffed:
+        rows[i] = " ".join(w for w in rnd.sample(known, 10) for _ in range(5))
+    df = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i not in stuffed)) for i in range(320)], "doc_id long, quality int")
+    rules = quality_rules.fit_rules(df, labels)
+    out = {r["doc_id"]: r for r in quality_rules.judge(df, rules, keep=["doc_id"]).collect()}
+    assert not any(out[i]["base_failed"] or out[i]["n_symbols"] for i in range(400))
+    assert {i for i in range(400) if not out[i]["kept"]} == {*stuffed}
+    assert [out[i]["n_distinct_words"] for i in range(400)] == [len(set(t.split(" "))) for t in rows]
+
+
 def brute_spans(text):
     text = text or ""
     out = []

@@ -17,6 +17,7 @@ from tidemark.llm.common import SPACE_CLASS, words
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
+MARKS = "[!?|=_~^]"
 
 #: Ratios that the rules look at, from the columns of text_statistics().
 FEATURES: dict[str, str] = {
@@ -24,9 +25,11 @@ FEATURES: dict[str, str] = {
     "mean_word": "word_chars / greatest(n_words, 1)",
     "symbol_share": "n_symbols / greatest(word_chars, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
+    "mark_share": "n_marks / greatest(word_chars, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
+    "distinct_share": "n_distinct_words / greatest(n_words, 1)",
 }
 
 
@@ -75,10 +78,10 @@ def _repeated(tokens: Column) -> Column:
 def text_statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep) with the statistics of every whole text, all long.
 
-    n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_repeat_words and
-    n_upper (A-Z). A null text counts as empty: all are 0. Columns of df with these names are replaced.
+    n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_repeat_words, n_distinct_words,
+    n_upper (A-Z) and n_marks. A null text counts as empty: all are 0. Columns of df with these names are replaced.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_marks")
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     plain = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__words", words(F.col("__text")))
     t = F.col("__text")
@@ -94,7 +97,9 @@ def text_statistics(df: DataFrame, text: str = "text", keep: list[str] | None =
         "n_lines": F.col("__lines.n"),
         "n_dup_lines": F.col("__lines.dup"),
         "n_repeat_words": F.col("__repeated"),
+        "n_distinct_words": F.size(F.array_distinct("__words")),
         "n_upper": F.char_length(t) - _without(t, "[A-Z]"),
+        "n_marks": F.char_length(t) - _without(t, MARKS),
     }
     return found.select(*(F.col(f"`{c}`") for c in keep), *(v.cast("long").alias(k) for k, v in columns.items()))
 
@@ -119,8 +124,20 @@ class Rule:
         return " and ".join(f"{n} {'>=' if above else '<'} {at:.6g}" for n, above, at in self.conditions)
 
 
-def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float = 0.97, min_cover: int = 10, max_conditions: int = 3, max_rules: int = 24, cuts: int = 24) -> list[Rule]:
-    """The decision list of labelled rows (features, is it bad?), by sequential covering. No bad rows, no rules."""
+def by_chance(hits: int, cover: int, rate: float) -> float:
+    """The chance that of cover rows hits or more are bad, if each is with chance rate."""
+    if not 0 < rate < 1:
+        return 1.0 if rate or not hits else 0.0
+    ways = lambda k: math.lgamma(cover + 1) - math.lgamma(k + 1) - math.lgamma(cover - k + 1)
+    return min(1.0, sum(math.exp(ways(k) + k * math.log(rate) + (cover - k) * math.log(1 - rate)) for k in range(hits, cover + 1)))
+
+
+def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float = 0.97, max_chance: float = 1e-6, max_conditions: int = 3, max_rules: int = 24, cuts: int = 24) -> list[Rule]:
+    """The decision list of labelled rows (features, is it bad?), by sequential covering. No bad rows, no rules.
+
+    A rule's evidence is the chance that as many of the rows it covers are bad if it says nothing about them, times
+    the tests it was chosen from: over max_chance it is not believed. So few hits count where bad rows are rare.
+    """
     grow = [r for i, r in enumerate(rows) if i % 3]
     prune = [r for i, r in enumerate(rows) if not i % 3]
     tests = []
@@ -161,9 +178,10 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float
 
         options = [Rule(tuple(conditions[:k])) for k in range(len(conditions), 0, -1)]
         rule = max(options, key=lambda r: ((w := worth(r, prune))[0], w[1]))
-        precision, cover = worth(rule, grow + prune)
-        # few hits prove little: two imagined ones, of which one is wrong, must leave most of the precision
-        if precision < min_precision or cover < min_cover or (precision * cover + 1) / (cover + 2) < min_precision - 0.05 or worth(rule, prune)[0] < min_precision:
+        left = grow + prune
+        precision, cover = worth(rule, left)
+        chance = len(tests) * by_chance(round(precision * cover), cover, sum(b for _, b in left) / len(left))
+        if precision < min_precision or chance > max_chance or worth(rule, prune)[0] < min_precision:
             break
         out.append(rule)
         grow = [r for r in grow if not rule.covers(r[0])]
