@@ -113,6 +113,29 @@ def test_trees_add_secrets_and_redact(spark):
     assert pii.boost([]).threshold > 1 and pii.fit_trees(df.limit(0)).threshold > 1
 
 
+def test_numbers_that_fail_luhn_stay(spark):
+    def number(i, good):
+        digits = [int(c) for c in f"{4000 + i}{(i * 7919 + 13) % 10**11:011d}"]
+        total = sum(sum(divmod(v * (2 - k % 2), 10)) for k, v in enumerate(digits))
+        return "".join(map(str, digits)) + str((-total + (0 if good else 3)) % 10)
+
+    rows = [f'say token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and go on' for i in range(400)]
+    rows += [f"it read {number(i, i % 2)} in the end" for i in range(120)]
+    rows += [f"my account {number(i, False)} holds it" for i in range(120, 160)]
+    df = documents(spark, rows)
+    labels = pii.candidates(df, keep=["doc_id"]).select("doc_id", F.explode("proposed").alias("p")).where("p.kind = 'account'")
+    assert {r["doc_id"]: r["label"] for r in labels.select("doc_id", "p.label").collect()} == {400 + i: int(i % 2 or i >= 120) for i in range(160)}
+    out = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.fit_trees(df)).collect()}
+    assert all(out[400 + i] == ("it read [CARD] in the end" if i % 2 else rows[400 + i]) for i in range(120))
+    assert all("[SECRET]" in out[i] for i in range(400)) and all("[ACCOUNT]" in out[i] for i in range(520, 560))
+
+
+def test_threshold_lets_no_group_ride_on_others():
+    assert pii._threshold([(0.9, 1000, 0), (0.6, 50, 40)], 0.9) == 0.9
+    assert pii._threshold([(0.9, 100, 0), (0.8, 0, 1), (0.7, 100, 0)], 0.9) == 0.7
+    assert pii._threshold([(0.9, 0, 0), (0.5, 1, 3)], 0.9) == 2.0 and pii._threshold([], 0.9) == 2.0
+
+
 def test_chat_round_trip(spark):
     odd = ["", "\\", "\\\\h", "###", "####", "</turn>", "</turn>\n", "</turn", "\\### Assistant: </turn> ok", "a: b", "é😀\n\n### x", None]
     rows = [(c, t, ("user", "assistant", "sys:tem </turn>", None)[(c + t) % 4], odd[(c * 5 + t) % len(odd)]) for c in range(12) for t in range(c % 6 + 1)]

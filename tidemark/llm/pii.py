@@ -115,8 +115,8 @@ def features(span: Column, text: Column) -> dict[str, Column]:
 def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep) with base (checked base spans) and proposed (generated spans clear of them, with features and a label).
 
-    label is 1 where a base check or a key word confirms a proposal's kind, 0 where a check refutes it, null where
-    nothing is known. A null text counts as empty and has no spans.
+    label is 1 where a base check or a key word confirms a proposal's kind, 0 where a check refutes it and no key word
+    announces it, null where nothing is known. A null text counts as empty and has no spans.
     """
     keep = df.columns if keep is None else keep
     kept = [F.col(f"`{c}`") for c in keep if c not in ("__text", "base", "proposed")]
@@ -135,8 +135,9 @@ def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None)
         label = (
             F.when((span["kind"] == "secret") & (f["announced"] == 1), 1)
             .when((span["kind"] == "secret") & (f["digit_share"] == 3), 0)
-            .when((span["kind"] == "account") & n.between(16, 19), F.when(luhn(digits), 1))
+            .when((span["kind"] == "account") & n.between(16, 19) & luhn(digits), 1)
             .when((span["kind"] == "account") & (f["announced"] == 2), 1)
+            .when((span["kind"] == "account") & n.between(16, 19), 0)
             .when((span["kind"] == "account") & (f["announced"] == 3), 0)
             .when((span["kind"] == "account") & ~n.between(8, 19), 0)
         )
@@ -210,11 +211,41 @@ def _grow(rows: list, depth: int, least: float) -> Node:
     return Node(feature=name, at=at, left=_grow([r for r in rows if r[0][name] <= at], depth - 1, least), right=_grow([r for r in rows if r[0][name] > at], depth - 1, least))
 
 
-def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 20, depth: int = 3, precision: float = 0.9, least: float = 2.0) -> Trees:
+def _threshold(scored: list[tuple[float, float, float]], precision: float) -> float:
+    """The lowest probability that may be accepted, from (probability, positives, negatives); 2 if none may.
+
+    Neighbours whose shares of positives go against their probabilities are pooled (isotonic regression). The share in
+    the pool must reach precision, so that no group passes on the account of better ones, and the share of all weight
+    from there up must reach it less one deviation.
+    """
+    pools: list[list[float]] = []
+    for q, a, b in sorted(scored, key=lambda x: -x[0]):
+        if not a + b:
+            continue
+        pools.append([q, a, b])
+        while len(pools) > 1 and (pools[-1][0] == pools[-2][0] or pools[-1][1] * sum(pools[-2][1:]) >= pools[-2][1] * sum(pools[-1][1:])):
+            q, a, b = pools.pop()
+            pools[-1] = [q, pools[-1][1] + a, pools[-1][2] + b]
+    chosen, p, n = 2.0, 0.0, 0.0
+    for q, a, b in pools:
+        p, n = p + a, n + b
+        share = p / (p + n)
+        if a / (a + b) >= precision and share - math.sqrt(share * (1 - share) / (p + n)) >= precision:
+            chosen = q
+    return chosen
+
+
+def boost(
+    cells: list[tuple[dict[str, int], float, float]],
+    rounds: int = 20,
+    depth: int = 3,
+    precision: float = 0.9,
+    least: float = 2.0,
+    held_out: list[tuple[dict[str, int], float, float]] | None = None,
+) -> Trees:
     """Fit on cells (features, positives, negatives). Without both kinds of label nothing is accepted.
 
-    The threshold is the lowest probability at and over which the positives' share of all labelled weight, less
-    one deviation, reaches precision.
+    The threshold is calibrated on the cells of held_out, or on those of the fit if it is None.
     """
     positives, negatives = sum(c[1] for c in cells), sum(c[2] for c in cells)
     if not positives or not negatives:
@@ -230,31 +261,30 @@ def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 20, de
         trees.append(tree)
         score = [s + tree.score(c[0]) for s, c in zip(score, cells, strict=True)]
     model = Trees(bias, tuple(trees), 2.0)
-    chosen, p, n = 2.0, 0.0, 0.0
-    ranked = sorted(((model.probability(c[0]), c[1], c[2]) for c in cells), key=lambda x: -x[0])
-    for i, (q, a, b) in enumerate(ranked):
-        p, n = p + a, n + b
-        if i + 1 < len(ranked) and ranked[i + 1][0] == q:
-            continue
-        share = p / (p + n)
-        if p + n and share - math.sqrt(share * (1 - share) / (p + n)) >= precision:
-            chosen = q
+    chosen = _threshold([(model.probability(c[0]), c[1], c[2]) for c in (cells if held_out is None else held_out)], precision)
     return Trees(bias, tuple(trees), min(chosen, 1 - 1e-9) - 1e-9 if chosen <= 1 else 2.0)
 
 
-def fit_trees(df: DataFrame, text: str = "text", **options) -> Trees:
-    """Trees from the labelled proposals of all rows: the driver gets their counts by feature cell, CELLS at most."""
+def fit_trees(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> Trees:
+    """Trees from the labelled proposals of all rows: the driver gets their counts by feature cell, 2 * CELLS at most.
+
+    A quarter of the documents, by a hash of their key (of the text where df has no key), calibrates the threshold and the
+    rest fits the trees. Only proposals clear of the base spans calibrate, as only those are left to the trees.
+    """
     span = F.col("c")
     names = [f"f_{k}" for k in SHAPE]
+    plain = df.select(F.col(text).alias("text"), (F.pmod(F.xxhash64(key if key in df.columns else text), F.lit(4)) == 0).alias("held"))
+    used = F.filter("proposed", lambda s: s["label"].isNotNull() & (~F.col("held") | ~_overlaps(s, F.col("base"))))
     cells = (
-        candidates(df, text, keep=[])
-        .select(F.explode(F.filter("proposed", lambda s: s["label"].isNotNull())).alias("c"))
-        .groupBy(*(span[n].alias(n) for n in names))
+        candidates(plain, keep=["held"])
+        .select("held", F.explode(used).alias("c"))
+        .groupBy("held", *(span[n].alias(n) for n in names))
         .agg(F.sum(span["label"]).alias("p"), F.sum(1 - span["label"]).alias("n"))
         .collect()
     )
     ordered = sorted(cells, key=lambda r: tuple(r[n] for n in names))
-    return boost([({k: r[f"f_{k}"] for k in SHAPE}, float(r["p"]), float(r["n"])) for r in ordered], **options)
+    of = lambda held: [({k: r[f"f_{k}"] for k in SHAPE}, float(r["p"]), float(r["n"])) for r in ordered if r["held"] == held]
+    return boost(of(False), held_out=of(True), **options)
 
 
 def _ranked(spans: Column) -> Column:
