@@ -163,6 +163,31 @@ def test_session(table):
     assert Crossfilter(df, {"v": View1D(V), "n": View0D()}, Config(interpolate=True)).brush("v", (0.01, 9.99))["n"].first()["value"] > 0
 
 
+@pytest.mark.parametrize("progressive", [True, "only2D"])
+def test_progressive_session_refines(table, progressive):
+    df, rows = table
+    s = Crossfilter(df, {"v": View1D(Dimension("v", 10, (0, 10))), "x": View1D(X), "vw": View2D(V, W), "n": View0D()}, Config(progressive=progressive))
+
+    def check(got, brushes):
+        assert got["n"].first()["value"] == direct(rows, View0D(), brushes)[()] > 0
+        assert {(r["key"],): r["value"] for r in got["x"].collect() if r["value"]} == direct(rows, View1D(X), brushes)
+
+    one, bins = {"v": (2.05, 7.4)}, {"v": (2.0, 7.0)}
+    check(s.brush("v", one["v"]), bins if progressive is True else one)
+    check(s.refine(), one)
+    check(s.brush("v", (3.15, 8.65)), {"v": (3.15, 8.65)})
+    check(s._counts("v", s.activate("v", progressive=True)), {"v": (3.0, 9.0)})  # 3.15 and 8.65 to the nearest bins
+    check(s.brush("v", (1.25, 4.6)), {"v": (1.25, 4.6)})
+    assert s.clear("v")["n"].first()["value"] == direct(rows, View0D(), {})[()]
+    (a, b), (c, d) = [(low, low + 20 * step) for low, step in ((k.config.start + 7 * p, p) for k in s.views["vw"].dimensions for p in [k.config.resized(80).step])]
+    s.brush("vw", (a, b), (c, d))
+    assert s._slices["vw"][0] == s.pixels("vw", True) != s.pixels("vw")
+    assert s.refine()["n"].first()["value"] == direct(rows, View0D(), {"v": (a, b), "w": (c, d)})[()]
+    s.close()
+    with pytest.raises(ValueError, match="active"):
+        Crossfilter(df, {"v": View1D(V), "n": View0D()}).refine()
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         scalars.hour_of_hhmm(F.lit("2400")).alias("a"), scalars.hour_of_hhmm(F.lit(1430)).alias("b"), scalars.hour_of_hhmm(F.lit("x")).alias("c"),

@@ -66,22 +66,37 @@ class Crossfilter:
         return (int(min(self.config.heatmap_width, self.config.max_resolution_2d)),) * 2
 
     def activate(self, name: str, progressive: bool | None = None) -> dict[str, CubeSlice]:
-        """Slices of all other views under this one; built in one scan unless they are held at that resolution."""
+        """Slices of all other views under this one; built in one scan unless they are held at that resolution.
+
+        Left to the settings, slices of full resolution that are held already are given instead of coarse ones.
+        """
         view = self.views[name]
-        if progressive is None:
+        implied = progressive is None
+        if implied:
             progressive = self.config.progressive is True or (self.config.progressive == "only2D" and isinstance(view, View2D))
         pixels = self.pixels(name, progressive)
         self.active = name
         held = self._slices.get(name)
-        if held and held[0] == pixels:
+        if held and (held[0] == pixels or (implied and held[0] == self.pixels(name))):
             return held[2]
         others = {n: v for n, v in self.views.items() if n != name}
         if held and len(held[0]) == len(pixels) and all(a % b == 0 for a, b in zip(held[0], pixels, strict=True)):
             return {n: coarser(s, pixels, self.config.max_cells) for n, s in held[2].items()}
-        self._drop(name)
         counts = fused_counts(self.df, view.dimensions, pixels, others, self.brushes, self.dimensions).persist()
-        self._slices[name] = (pixels, counts, fused_slices(counts, pixels, others, self.config.max_cells))
-        return self._slices[name][2]
+        slices = fused_slices(counts, pixels, others, self.config.max_cells)
+        self._drop(name)
+        self._slices[name] = (pixels, counts, slices)
+        return slices
+
+    def refine(self) -> dict[str, DataFrame]:
+        """Replace the active view's coarse slices by those of full resolution and give the counts of all other views anew.
+
+        What a brush gives while progressive is rounded to bins; this gives its counts to the pixel, and so do later
+        brushes on that view, until another view's brush moves.
+        """
+        if self.active is None:
+            raise ValueError("no view is active")
+        return self._counts(self.active, self.activate(self.active, progressive=False))
 
     def prefetch(self) -> None:
         """Build the slices of every view that can be active."""
@@ -109,13 +124,19 @@ class Crossfilter:
         for other in [n for n in self._slices if n != name]:
             self._drop(other)
         slices = self.activate(name)
-        view, pixels = self.views[name], self._slices[name][0]
         if self.logger:
-            self.logger(name, {d.name: self.brushes.get(d.name) for d in view.dimensions})
+            self.logger(name, {d.name: self.brushes.get(d.name) for d in self.views[name].dimensions})
+        return self._counts(name, slices)
+
+    def _counts(self, name: str, slices: dict[str, CubeSlice]) -> dict[str, DataFrame]:
+        view = self.views[name]
         if not all(d.name in self.brushes for d in view.dimensions):
             return {n: cleared(s) for n, s in slices.items()}
-        at = [edges(self.brushes[d.name], d.config, p, self.config.interpolate) for d, p in zip(view.dimensions, pixels, strict=True)]
-        return {n: brushed_counts(s, at) for n, s in slices.items()}
+
+        def brushed(s: CubeSlice) -> DataFrame:
+            return brushed_counts(s, [edges(self.brushes[d.name], d.config, p, self.config.interpolate) for d, p in zip(view.dimensions, s.pixels, strict=True)])
+
+        return {n: brushed(s) for n, s in slices.items()}
 
     def zoom(self, name: str, domain: Interval) -> DataFrame:
         """Bin a histogram's dimension anew over a domain (widened to its brush) and give its chart data."""
