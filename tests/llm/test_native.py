@@ -69,6 +69,17 @@ def test_stuffed_words_without_symbols_are_rejected(spark):
     assert [out[i]["n_distinct_words"] for i in range(400)] == [len(set(t.split(" "))) for t in rows]
 
 
+def test_repeated_keys_count_once(spark, monkeypatch):
+    text = "plain words that say number {} and go on for a while until the line has said enough of it all and ends here"
+    rows = [(0, text.format(f"n{i}")) for i in range(300)] + [(0, "short")] + [(i, text.format(i)) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn_rules", lambda rows: seen.extend(rows) or [])
+    quality_rules.fit_rules(df, labels, sample=41)
+    assert len(seen) == 41 and sum(bad for _, bad in seen) == 21
+
+
 def brute_spans(text):
     text = text or ""
     out = []

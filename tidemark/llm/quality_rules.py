@@ -198,7 +198,8 @@ def fit_rules(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     """Learn a decision list from at most sample labelled documents (of 0 in the label column: bad), taken by a hash of their key.
 
     Documents that fail the base rules are left out, as no rule need find them. Null keys and labels are passed over; of
-    a key with several labels the least counts.
+    a key with several labels the least counts, and of one with several documents one that passes the base rules, the
+    least by its statistics: the driver gets a row for each key.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -211,10 +212,11 @@ def fit_rules(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     joined = df.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
     stats = text_statistics(joined, keep=["__key", "__label"])
     # base failures leave on the driver: Catalyst would push that filter, and the statistics with it, below the join
-    found = stats.select("__key", "__label", base_failed(min_words, max_repeat_percent).alias("__failed"), *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items())).collect()
-    found = [r for r in found if not r["__failed"]]
-    found.sort(key=lambda r: (str(r["__key"]), tuple(r)))
-    return learn_rules([({n: r[n] for n in FEATURES}, r["__label"] == 0) for r in found[: 2 * sample]], **options)
+    row = F.struct(base_failed(min_words, max_repeat_percent).alias("failed"), *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
+    found = stats.select("__key", "__label", row.alias("row")).groupBy("__key", "__label").agg(F.min("row").alias("row")).collect()
+    found = [r for r in found if not r["row"]["failed"]]
+    found.sort(key=lambda r: (str(r["__key"]), tuple(r["row"])))
+    return learn_rules([({n: r["row"][n] for n in FEATURES}, r["__label"] == 0) for r in found], **options)
 
 
 def verdict(rules: list[Rule]) -> tuple[Column, Column]:
