@@ -1,10 +1,8 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination by exact shingle containment.
 
-Test items are partitioned by the number of their shingles. An item's sketch holds its k smallest hashes, k by
-partition; as the hash orders shingles at random, a document that contains a share c of an item contains about c * k
-of its sketch, however long the document is. Each partition has the least number of sketch hits at which a document
-becomes a candidate, chosen so that one that just reaches the threshold is missed with a chance below MISS. Candidates
-are verified on all shingles of the item.
+Shingles of documents that pass a Bloom filter of the items' shingles are joined with all shingles of all items. The
+finished counts also pass a sketch filter: an item's sketch holds its k smallest hashes, and a document needs the least
+number of sketch hits that one that just reaches the threshold misses with a chance below MISS.
 """
 
 from __future__ import annotations
@@ -25,9 +23,9 @@ MISS = 1e-6
 
 
 def plan_for(size: int, percent: int, widest: int = 32, miss: float = MISS) -> tuple[int, int]:
-    """(sketch size, hits needed) of the partition that an item with size shingles belongs to.
+    """(sketch size, hits needed) of an item with size shingles.
 
-    The partition is the power of two at or above size. Sketches are drawn without replacement, so the hypergeometric
+    Sketches are drawn without replacement, so the hypergeometric
     chance of too few hits bounds what is lost.
     """
     share = percent / 100
