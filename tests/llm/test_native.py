@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -141,6 +142,56 @@ def test_numbers_that_fail_luhn_stay(spark):
     assert all("[SECRET]" in out[i] for i in range(400)) and all("[ACCOUNT]" in out[i] for i in range(520, 560))
 
 
+def test_positions_take_time_by_length(spark):
+    mixed = [" ".join(f"u{i}@ex.org 10.0.{i % 256}.7 +1 (222) 555-{i % 9000 + 1000} 4111111111111111" for i in range(9000))]
+    rows = [",".join(str(10 + i % 90) for i in range(200_000)), " ".join("7" for _ in range(300_000)) + "x", ",".join(str(1_000_000 + i) for i in range(60_000)), *mixed, "😀9" * 100_001]
+    assert min(map(len, rows)) > 200_000 and max(map(len, rows)) > 500_000
+    df = documents(spark, rows).repartition(5)
+    began = time.perf_counter()
+    out = {r["doc_id"]: r["base"] for r in pii.find_spans(df, pii.Trees(0.0, (), 2.0), keep=["doc_id"]).collect()}
+    text = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.Trees(0.0, (), 2.0)).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in enumerate(rows):
+        want = brute_spans(t)
+        assert [(s["kind"], s["start"], s["end"]) for s in out[i]] == want
+        at, cut = 0, []
+        for kind, start, end in sorted(want, key=lambda s: s[1]):
+            cut += [t[at:start], f"[{kind.upper()}]"]
+            at = end
+        assert text[i] == "".join([*cut, t[at:]])
+
+
+def test_columns_with_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", "x", 2.0, "y", "z"), (2, None, None, None, None, None)], "doc_id long, text string, base string, spans double, Proposed string, `a.b` string")
+    trees = pii.fit_trees(df)
+    assert [tuple(r) for r in pii.redact(df, trees).orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", "x", 2.0, "y", "z"), (2, None, None, None, None, None)]
+    found = pii.find_spans(df, trees)
+    assert found.columns == ["doc_id", "text", "Proposed", "a.b", "base", "spans"] and found.orderBy("doc_id").first()["a.b"] == "z"
+
+
+def test_running_folds(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        got = spark.range(1).select(F.expr(pii.running(f"slice(sequence(1, 2000), 1, {n})", "{} + {}".format, "0")).alias("r")).first()["r"]
+        assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
+def test_held_out_secrets_without_their_announcement(spark):
+    rnd = random.Random(3)
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(700)]
+    words = ["plain", "words", "2020-report", "chapter-eleven-of-12-in-all", "part_of_the_story_3", "id=8"]
+    rows = [" ".join(rnd.choice(words) for _ in range(12)) + f' token = "{h}" ' + rnd.choice(words) for h in hexes[:600]]
+    rows += [" ".join(rnd.choice(words) for _ in range(30)) for _ in range(600)]
+    df = documents(spark, rows)
+    fitted, held_out = pii.labelled_cells(df)
+    trees = pii.boost(fitted, held_out=held_out)
+    measured = pii.accuracy(trees, held_out)
+    assert measured["positives"] > 100 and measured["precision"] > 0.95 and measured["recall"] > 0.95
+    unannounced = documents(spark, [f'hash = "{h}" and more' for h in hexes[600:]])
+    assert all("[SECRET]" in r["text"] for r in pii.redact(unannounced, trees).collect())
+    for name in pii.SHAPE:
+        assert name not in ("announced", "luhn")
+
+
 def test_threshold_lets_no_group_ride_on_others():
     assert pii._threshold([(0.9, 1000, 0), (0.6, 50, 40)], 0.9) == 0.9
     assert pii._threshold([(0.9, 100, 0), (0.8, 0, 1), (0.7, 100, 0)], 0.9) == 0.7

@@ -1,10 +1,11 @@
 """Personal data: high-recall span generators scored by boosted trees, with DataFrame functions alone.
 
 Base spans (email, ip, card, phone) are exact patterns with checks and always stay. Beside them generators propose
-every long run of digits and every long token; base checks and key words label those that they can judge, boosted
-trees learn from format and context features which of the others look alike, and spans over a calibrated threshold
-are added. The trees are fitted on counts by feature cell (at most CELLS of them, whatever the corpus size) and
-applied as one Spark expression.
+every long run of digits and every long token. Evidence (the words that announce a value, and Luhn's check) labels
+proposals; boosted trees learn from format and from the marks around a span, never from the evidence, which of them are
+like those that the evidence confirms. A proposal is redacted if evidence confirms it or if the trees put it over a
+calibrated threshold. The trees are fitted on counts by feature cell (at most CELLS of them, whatever the corpus size)
+and applied as one Spark expression. Positions are running sums over arrays, so that the work grows with a text's length.
 """
 
 from __future__ import annotations
@@ -15,136 +16,158 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality_rules import let
-
 # Fixed patterns. Quantifiers are possessive where nothing could be given back, so that long runs neither recurse nor
-# backtrack; a look-behind starts a run only at its first character or where the last match ended.
+# backtrack; look-behinds start a run only at its first character or where the last match ended. The patterns of cards
+# and phones hold their numbers of digits, as runs of more or fewer digits are no matches of theirs.
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 BASE: dict[str, str] = {
     "email": f"(?:(?<!{_LOCAL})|\\G){_LOCAL}++@{_LABEL}++(?:\\.{_LABEL}++)++",
     "ip": "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
-    "card": "[0-9](?:[\\x20-]?[0-9])++",
-    "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
+    "card": "(?<![0-9])(?<![0-9][\\x20-])[0-9](?:[\\x20-]?[0-9]){15,18}+(?![\\x20-]?[0-9])",
+    "phone": "\\+[0-9](?:[\\x20().-]*+[0-9]){7,14}+(?![\\x20().-]*+[0-9])",
 }
 #: Generators: runs of 7 digits or more with separators, and tokens of 16 characters or more with a digit.
 GENERATORS: dict[str, str] = {
-    "account": "(?<![0-9A-Za-z])[0-9](?:[\\x20-]?[0-9]){6,}+(?![0-9A-Za-z])",
+    "account": "(?<![0-9A-Za-z])(?<![0-9][\\x20-])[0-9](?:[\\x20-]?[0-9]){6,}+(?![0-9A-Za-z])",
     "secret": "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
 }
 KINDS = (*BASE, *GENERATORS)
-#: Code points before a span that count as its context.
+#: Code points before a span, back to the last match of its kind at most, in which evidence and marks are looked for.
 CONTEXT = 24
-#: Words that announce a value: of secrets, of account numbers, of plain numbers.
+#: Evidence: words that announce a secret, an account number, a plain number.
 SECRET_WORDS = "(?i)(token|secret|passw|api.?key|bearer|credential|\\bkey)[^\\n]{0,8}$"
 ACCOUNT_WORDS = "(?i)(card|visa|account|iban|konto|compte|cuenta|ssn|phone|tel|call)[^\\n]{0,8}$"
 NUMBER_WORDS = "(?i)(version|page|item|no\\.|nr|isbn|line|chapter|\\bv)[^\\n]{0,4}$"
 #: Feature names and how many values each takes; their product bounds the cells.
-SHAPE = {"kind": 2, "length": 6, "digit_share": 4, "groups": 3, "announced": 4, "quoted": 2, "case": 3, "hexadecimal": 2, "edge": 2}
+SHAPE = {"kind": 2, "length": 6, "digit_share": 4, "groups": 3, "turns": 3, "mark": 4, "case": 3, "hexadecimal": 2, "edge": 2}
 CELLS = math.prod(SHAPE.values())
+#: Array elements that are folded one by one in a running fold, and code points in a piece of a text that is cut.
+_RUN, _PIECE = 128, 4096
+_FOUND = "cast(array() as array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>)"
 
+# Expressions over arrays are written as SQL text: a long one is parsed in one call. Names of lambda variables are chosen
+# so that no expression put into another one refers to a name that is bound there again.
 
-def spans_of(text: Column, kind: str, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as an array of (kind, start, end, value), in code points from 0."""
 
-    def placed(found: Column, between: Column) -> Column:
-        sizes = F.transform(found, lambda m, i: F.char_length(m) + F.char_length(F.element_at(between, i + 1)))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(found)),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out")),
-            lambda a, i: let(
-                a["at"] + F.char_length(F.element_at(between, i)),
-                lambda s: let(
-                    s + F.char_length(F.element_at(found, i)),
-                    lambda e: F.struct(e.alias("at"), F.array_append(a["out"], F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), F.element_at(found, i).alias("value"))).alias("out")),
-                ),
-            ),
-            lambda a: a["out"],
-        )
+def _raw(pattern: str) -> str:
+    return f"r'{pattern}'"
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, pattern), lambda p: placed(m, p))))
 
+def with_value(name: str, value: str, use: str) -> str:
+    """SQL for use, in which name stands for value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
-def luhn(digits: Column) -> Column:
-    """Does a string of digits pass Luhn's check?"""
-    reverse = F.filter(F.split(F.reverse(digits), ""), lambda c: c != "")
-    doubled = F.transform(reverse, lambda c, i: let(c.cast("int") * (i % 2 + 1), lambda v: F.when(v > 9, v - 9).otherwise(v)))
-    return F.aggregate(doubled, F.lit(0), lambda a, v: a + v) % 10 == 0
 
+def running(values: str, combine, zero: str) -> str:
+    """SQL for the fold of every prefix of an array: of whole runs before an element, then within its own run.
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+    An element costs a run's length at most, and a run the number of runs before it.
+    """
+    fold = lambda part: f"aggregate({part}, {zero}, (acc, x) -> {combine('acc', 'x')})"
+    runs = f"transform(sequence(0, cast(floor((size(v) - 1) / {_RUN}) as int)), j -> slice(v, j * {_RUN} + 1, {_RUN}))"
+    each = f"flatten(transform(runs, (run, j) -> transform(run, (y, i) -> {combine('get(prior, j)', fold('slice(run, 1, i + 1)'))})))"
+    prior = with_value("totals", f"transform(runs, run -> {fold('run')})", f"transform(totals, (y, j) -> {fold('slice(totals, 1, j)')})")
+    return with_value("v", values, f"case when size(v) = 0 then v else {with_value('runs', runs, with_value('prior', prior, each))} end")
 
 
-def valid(span: Column) -> Column:
-    """The base check of a span of that kind."""
-    value = span["value"]
-    n = F.char_length(_digits(value))
-    parts = F.forall(F.split(value, "\\."), lambda p: let(F.regexp_replace(p, "^0+", ""), lambda q: (F.char_length(q) <= 3) & (F.when(F.char_length(q) <= 3, F.concat(F.lit("0"), q).cast("int")) <= 255)))
-    return (
-        F.when(span["kind"] == "ip", parts)
-        .when(span["kind"] == "card", F.when(n.between(16, 19), luhn(_digits(value))).otherwise(False))
-        .when(span["kind"] == "phone", n.between(8, 15))
-        .otherwise(True)
+def spans_of(text: str, kind: str, pattern: str) -> str:
+    """SQL for leftmost non-overlapping matches as an array of (kind, start, end, value, before, after), in code points from 0.
+
+    before holds the CONTEXT code points before a match, back to the last match at most, after the code point behind it.
+    """
+    ends = running("transform(found, (m, i) -> char_length(m) + char_length(get(gaps, i)))", "{} + {}".format, "0")
+    made = (
+        f"transform(found, (m, i) -> named_struct('kind', '{kind}', 'start', get(ends, i) - char_length(m), 'end', get(ends, i), "
+        f"'value', m, 'before', right(get(gaps, i), {CONTEXT}), 'after', left(get(gaps, i + 1), 1)))"
     )
+    placed = with_value("gaps", f"split({text}, {_raw(pattern)})", with_value("ends", ends, made))
+    return with_value("found", f"regexp_extract_all({text}, {_raw(pattern)}, 0)", f"case when size(found) = 0 then {_FOUND} else {placed} end")
+
+
+def luhn(digits: str) -> str:
+    """SQL: does a string of digits pass Luhn's check?"""
+    doubled = f"transform(filter(split(reverse({digits}), ''), c -> c <> ''), (c, i) -> {with_value('d', 'cast(c as int) * (i % 2 + 1)', 'case when d > 9 then d - 9 else d end')})"
+    return f"(aggregate({doubled}, 0, (acc, x) -> acc + x) % 10 = 0)"
+
+
+def _digits(span: str) -> str:
+    return f"regexp_replace({span}.value, '[^0-9]', '')"
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def valid(span: str) -> str:
+    """SQL for the base check of a span of that kind."""
+    n = f"char_length({_digits(span)})"
+    part = with_value("q", "regexp_replace(part, '^0+', '')", "case when char_length(q) <= 3 then cast('0' || q as int) <= 255 else false end")
+    return (
+        f"case {span}.kind when 'ip' then forall(split({span}.value, r'\\.'), part -> {part}) "
+        f"when 'card' then case when {n} between 16 and 19 then {luhn(_digits(span))} else false end "
+        f"when 'phone' then {n} between 8 and 15 else true end"
+    )
+
 
+def clear_of(spans: str, others: str) -> str:
+    """SQL for the spans (structs with start and end) that overlap none of others, in order of their starts.
 
-def features(span: Column, text: Column) -> dict[str, Column]:
-    """Small integers from a span's format and its context; the checks behind the labels are not among them."""
-    value = span["value"]
-    before = F.substr(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substr(text, span["end"] + 1, F.lit(1))
-    n, digits = F.char_length(value), F.char_length(_digits(value))
+    Of all in one order, those before a span must end, and those behind it begin, outside it.
+    """
+    top = str(2**31 - 1)
+    line = f"array_sort(concat(transform(mine, (s, i) -> struct(s.start as start, s.end as end, i as at)), transform({others}, s -> struct(s.start as start, s.end as end, -1 as at))))"
+    ended = running("transform(line, s -> case when s.at < 0 then s.end else -1 end)", "greatest({}, {})".format, "-1")
+    begun = f"reverse({running(f'reverse(transform(line, s -> case when s.at < 0 then s.start else {top} end))', 'least({}, {})'.format, top)})"
+    free = "filter(transform(line, (s, i) -> case when s.at >= 0 and get(ended, i) <= s.start and get(begun, i) >= s.end then s.at end), at -> at is not null)"
+    apart = with_value("line", line, with_value("ended", ended, with_value("begun", begun, f"transform({free}, at -> get(mine, at))")))
+    return with_value("mine", spans, f"case when size(mine) = 0 or size({others}) = 0 then mine else {apart} end")
+
+
+def features(span: str) -> dict[str, str]:
+    """SQL for small integers from a span's format and the marks around it; no evidence is among them."""
+    value, before = f"{span}.value", f"{span}.before"
+    n = f"char_length({value})"
+    turns = f"char_length(regexp_replace(regexp_replace(left({value}, 64), '[A-Za-z]+', 'a'), '[0-9]+', '0'))"
     return {
-        "kind": F.when(span["kind"] == "secret", 1).otherwise(0),
-        "length": F.when(n < 12, 0).when(n < 16, 1).when(n < 20, 2).when(n < 32, 3).when(n <= 64, 4).otherwise(5),
-        "digit_share": F.least(F.lit(3), F.floor(4 * digits / n)),
-        "groups": F.least(F.lit(2), F.size(F.split(value, "[ -]")) - 1),
-        "announced": F.when(F.rlike(before, F.lit(SECRET_WORDS)), 1).when(F.rlike(before, F.lit(ACCOUNT_WORDS)), 2).when(F.rlike(before, F.lit(NUMBER_WORDS)), 3).otherwise(0),
-        "quoted": F.rlike(before, F.lit("[\"'=:]\\x20?$")).cast("int"),
-        "case": F.when(F.rlike(value, F.lit("[a-z]")) & F.rlike(value, F.lit("[A-Z]")), 2).when(F.rlike(value, F.lit("[A-Za-z]")), 1).otherwise(0),
-        "hexadecimal": (~F.rlike(value, F.lit("[^0-9a-fA-F]"))).cast("int"),
-        "edge": F.rlike(after, F.lit("^[A-Za-z0-9_]")).cast("int"),
+        "kind": f"case {span}.kind when 'secret' then 1 else 0 end",
+        "length": f"case when {n} < 12 then 0 when {n} < 16 then 1 when {n} < 20 then 2 when {n} < 32 then 3 when {n} <= 64 then 4 else 5 end",
+        "digit_share": f"least(3, floor(4 * char_length({_digits(span)}) / {n}))",
+        "groups": f"least(2, size(split({value}, '[ -]')) - 1)",
+        "turns": f"case when {turns} < 4 then 0 when {turns} < 10 then 1 else 2 end",
+        "mark": f"case when {before} rlike {_raw('[=:] ?[\\x22\\x27]$')} then 3 when {before} rlike '[=:] ?$' then 2 when {before} rlike {_raw('[\\x22\\x27]$')} then 1 else 0 end",
+        "case": f"case when {value} rlike '[a-z]' and {value} rlike '[A-Z]' then 2 when {value} rlike '[A-Za-z]' then 1 else 0 end",
+        "hexadecimal": f"case when {value} rlike '[^0-9a-fA-F]' then 0 else 1 end",
+        "edge": f"case when {span}.after rlike '^[A-Za-z0-9_]' then 1 else 0 end",
     }
 
 
+def evidence(span: str) -> str:
+    """SQL: 1 where words or Luhn's check confirm a proposal's kind, 0 where they speak against it, null where nothing is known."""
+    secret, account, number = (f"{span}.before rlike {_raw(w)}" for w in (SECRET_WORDS, ACCOUNT_WORDS, NUMBER_WORDS))
+    checked = f"case when {luhn(_digits(span))} then 1 else 0 end"
+    return (
+        f"case when {span}.kind = 'secret' then case when {secret} then 1 when {number} or {account} then 0 end "
+        f"when {account} and not {secret} then 1 when char_length({_digits(span)}) between 16 and 19 then {checked} "
+        f"when {secret} or {number} then 0 end"
+    )
+
+
+def _candidates(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Columns keep with __text, __base and __proposed, names that no table should have."""
+    hot = {"email": "contains(__text, '@')", "phone": "contains(__text, '+')"}
+    found = df.select(F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in keep)).alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    found = found.withColumn("__digit", F.expr("__text rlike '[0-9]'"))
+    found = found.withColumns({f"__{k}": F.expr(f"case when {hot.get(k, '__digit')} then {spans_of('__text', k, p)} else {_FOUND} end") for k, p in {**BASE, **GENERATORS}.items()})
+    fields = ", ".join(f"'f_{k}', cast({v} as int)" for k, v in features("s").items())
+    made = f"named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'value', s.value, 'label', {evidence('s')}, {fields})"
+    proposed = F.expr(f"transform(concat({', '.join(f'__{k}' for k in GENERATORS)}), s -> {made})")
+    base = F.expr(f"filter(concat({', '.join(f'__{k}' for k in BASE)}), s -> {valid('s')})")
+    return found.select(*(F.col("__row").getField(c).alias(c) for c in keep), "__text", base.alias("__base"), proposed.alias("__proposed"))
+
+
 def candidates(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns (or those in keep) with base (checked base spans) and proposed (generated spans clear of them, with features and a label).
+    """df's columns (or those in keep) with base (checked base spans) and proposed (generated spans with features and a label).
 
-    label is 1 where a base check or a key word confirms a proposal's kind, 0 where a check refutes it and no key word
-    announces it, null where nothing is known. A null text counts as empty and has no spans.
+    label is evidence(). A null text counts as empty and has no spans. Columns of df named base and proposed are replaced.
     """
-    keep = df.columns if keep is None else keep
-    kept = [F.col(f"`{c}`") for c in keep if c not in ("__text", "base", "proposed")]
-    t = F.col("__text")
-    hot = {"email": t.contains("@"), "phone": t.contains("+"), "ip": F.col("__digit"), "card": F.col("__digit"), "account": F.col("__digit"), "secret": F.col("__digit")}
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    plain = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__digit", F.rlike("__text", F.lit("[0-9]")))
-    found = plain.withColumns({f"__{k}": F.when(hot[k], spans_of(t, k, p)).otherwise(none) for k, p in {**BASE, **GENERATORS}.items()})
-    base = F.concat(*(F.filter(f"__{k}", valid) for k in BASE))
-    found = found.withColumn("base", base)
-
-    def labelled(span: Column) -> Column:
-        f = features(span, t)
-        digits = _digits(span["value"])
-        n = F.char_length(digits)
-        label = (
-            F.when((span["kind"] == "secret") & (f["announced"] == 1), 1)
-            .when((span["kind"] == "secret") & (f["digit_share"] == 3), 0)
-            .when((span["kind"] == "account") & n.between(16, 19) & luhn(digits), 1)
-            .when((span["kind"] == "account") & (f["announced"] == 2), 1)
-            .when((span["kind"] == "account") & n.between(16, 19), 0)
-            .when((span["kind"] == "account") & (f["announced"] == 3), 0)
-            .when((span["kind"] == "account") & ~n.between(8, 19), 0)
-        )
-        return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"), label.alias("label"), *(v.cast("int").alias(f"f_{k}") for k, v in f.items()))
-
-    proposed = F.transform(F.concat(*(F.col(f"__{k}") for k in GENERATORS)), labelled)
-    return found.select(*kept, t.alias("__text"), "base", proposed.alias("proposed"))
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("base", "proposed")]
+    return _candidates(df, text, keep).drop("__text").withColumnsRenamed({"__base": "base", "__proposed": "proposed"})
 
 
 @dataclass(frozen=True)
@@ -163,10 +186,10 @@ class Node:
             node = node.left if row[node.feature] <= node.at else node.right
         return node.value
 
-    def expression(self, column) -> Column:
+    def expression(self, span: str) -> str:
         if not self.feature:
-            return F.lit(self.value)
-        return F.when(column(self.feature) <= self.at, self.left.expression(column)).otherwise(self.right.expression(column))
+            return f"{self.value!r}D"
+        return f"case when {span}.f_{self.feature} <= {self.at} then {self.left.expression(span)} else {self.right.expression(span)} end"
 
 
 @dataclass(frozen=True)
@@ -180,13 +203,12 @@ class Trees:
     def probability(self, row: dict[str, int]) -> float:
         return 1 / (1 + math.exp(-self.bias - sum(t.score(row) for t in self.trees)))
 
-    def accepts(self, column) -> Column:
+    def accepts(self, span: str) -> str:
+        """SQL: is the span's probability over the threshold?"""
         if self.threshold > 1:
-            return F.lit(False)
-        score = F.lit(self.bias)
-        for tree in self.trees:
-            score = score + tree.expression(column)
-        return score >= F.lit(math.log(self.threshold / (1 - self.threshold)))
+            return "false"
+        score = " + ".join([f"{self.bias!r}D", *(t.expression(span) for t in self.trees)])
+        return f"({score} >= {math.log(self.threshold / (1 - self.threshold))!r}D)"
 
 
 def _grow(rows: list, depth: int, least: float) -> Node:
@@ -265,52 +287,70 @@ def boost(
     return Trees(bias, tuple(trees), min(chosen, 1 - 1e-9) - 1e-9 if chosen <= 1 else 2.0)
 
 
-def fit_trees(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> Trees:
-    """Trees from the labelled proposals of all rows: the driver gets their counts by feature cell, 2 * CELLS at most.
+def labelled_cells(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[list, list]:
+    """Counts by feature cell, (features, positives, negatives), of the documents that fit the trees and of those held out.
 
-    A quarter of the documents, by a hash of their key (of the text where df has no key), calibrates the threshold and the
-    rest fits the trees. Only proposals clear of the base spans calibrate, as only those are left to the trees.
+    A quarter of the documents, by a hash of their key (of the text where df has no key), is held out. Proposals without
+    evidence count as negatives, so that a measured precision is at most the true one. Held-out proposals that overlap
+    base spans are left out, as only the others are left to the trees. The driver gets 2 * CELLS rows at most.
     """
     span = F.col("c")
     names = [f"f_{k}" for k in SHAPE]
-    plain = df.select(F.col(text).alias("text"), (F.pmod(F.xxhash64(key if key in df.columns else text), F.lit(4)) == 0).alias("held"))
-    used = F.filter("proposed", lambda s: s["label"].isNotNull() & (~F.col("held") | ~_overlaps(s, F.col("base"))))
+    held = F.coalesce(F.pmod(F.xxhash64(f"`{key}`" if key in df.columns else f"`{text}`"), F.lit(4)) == 0, F.lit(False))
+    plain = df.select(F.col(f"`{text}`").alias("text"), held.alias("held"))
+    used = F.expr(f"case when held then {clear_of('__proposed', '__base')} else __proposed end")
     cells = (
-        candidates(plain, keep=["held"])
+        _candidates(plain, "text", ["held"])
         .select("held", F.explode(used).alias("c"))
         .groupBy("held", *(span[n].alias(n) for n in names))
-        .agg(F.sum(span["label"]).alias("p"), F.sum(1 - span["label"]).alias("n"))
+        .agg(F.count_if(span["label"] == 1).alias("p"), F.count("*").alias("n"))
         .collect()
     )
     ordered = sorted(cells, key=lambda r: tuple(r[n] for n in names))
-    of = lambda held: [({k: r[f"f_{k}"] for k in SHAPE}, float(r["p"]), float(r["n"])) for r in ordered if r["held"] == held]
-    return boost(of(False), held_out=of(True), **options)
+    of = lambda held: [({k: r[f"f_{k}"] for k in SHAPE}, float(r["p"]), float(r["n"] - r["p"])) for r in ordered if r["held"] == held]
+    return of(False), of(True)
+
+
+def fit_trees(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> Trees:
+    """Trees from the proposals of all rows, with a threshold calibrated on held-out documents."""
+    fitted, held_out = labelled_cells(df, text, key)
+    return boost(fitted, held_out=held_out, **options)
 
 
-def _ranked(spans: Column) -> Column:
+def accuracy(trees: Trees, cells: list) -> dict[str, float]:
+    """Precision and recall of the trees alone, without evidence, on cells (features, positives, negatives)."""
+    taken = [(p, n) for f, p, n in cells if trees.probability(f) >= trees.threshold]
+    hit, wrong, all_ = sum(p for p, _ in taken), sum(n for _, n in taken), sum(p for _, p, _ in cells)
+    return {"precision": hit / (hit + wrong) if hit + wrong else math.nan, "recall": hit / all_ if all_ else math.nan, "positives": all_, "accepted": hit + wrong}
+
+
+def _ranked(spans: str) -> Column:
     """Spans ordered by kind as listed, then start."""
-    rank = {k: i for i, k in enumerate(KINDS)}
-    order = F.create_map(*(x for k, i in rank.items() for x in (F.lit(k), F.lit(i))))
-    return F.array_sort(F.transform(spans, lambda s: F.struct(order[s["kind"]].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rank = " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS))
+    return F.expr(f"array_sort(transform({spans}, s -> struct(case s.kind {rank} end as rank, s.start as start, s.end as end, s.kind as kind)))")
+
+
+def _found(df: DataFrame, trees: Trees, text: str, keep: list[str]) -> DataFrame:
+    """Columns keep with __base and __spans."""
+    plain = "transform({}, s -> struct(s.kind as kind, s.start as start, s.end as end))".format
+    # spans of one kind never overlap each other, so a kind need only be clear of those before it
+    chosen = _candidates(df, text, keep).withColumn("__all", F.expr(plain("__base")))
+    chosen = chosen.withColumn("__taken", F.expr(f"filter(__proposed, s -> coalesce(s.label = 1, false) or {trees.accepts('s')})"))
+    for kind in GENERATORS:
+        own = plain(f"filter(__taken, s -> s.kind = '{kind}')")
+        chosen = chosen.withColumn("__all", F.expr(f"concat(__all, {clear_of(own, '__all')})"))
+    return chosen.select(*(F.col(f"`{k}`") for k in keep), _ranked("__base").alias("__base"), _ranked("__all").alias("__spans"))
 
 
 def find_spans(df: DataFrame, trees: Trees, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep) with base and spans: arrays of (rank, start, end, kind) in code points, end exclusive.
 
-    base holds the checked base spans; spans holds those and the accepted proposals that overlap none of them nor an
-    earlier accepted one. Null and empty texts have none; repeated rows each get theirs.
+    base holds the checked base spans; spans holds those and the proposals that evidence confirms or the trees accept, if
+    they overlap none of them nor one of an earlier kind. Null and empty texts have none; repeated rows each get theirs.
+    Columns of df named base and spans are replaced.
     """
-    names = {"base", "spans"}
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    c = candidates(df, text, keep)
-    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    accepted = F.filter("proposed", lambda s: trees.accepts(lambda name: s[f"f_{name}"]) & ~_overlaps(s, F.col("base")))
-    apart = F.aggregate(
-        accepted,
-        F.array().cast("array<struct<kind:string,start:int,end:int>>"),
-        lambda a, s: F.when(_overlaps(s, a), a).otherwise(F.array_append(a, F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))),
-    )
-    return c.select(*(F.col(f"`{k}`") for k in keep), _ranked(plain).alias("base"), _ranked(F.concat(plain, apart)).alias("spans"))
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("base", "spans")]
+    return _found(df, trees, text, keep).withColumnsRenamed({"__base": "base", "__spans": "spans"})
 
 
 def span_text(spans: Column) -> Column:
@@ -318,24 +358,31 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _merged(spans: str) -> str:
+    """SQL for spans as (start, end, kind) in order, overlapping ones made one of the first one's kind."""
+    ends = running("transform(line, s -> s.end)", "greatest({}, {})".format, "-1")
+    heads = "filter(transform(line, (s, i) -> struct(s.start as start, s.kind as kind, coalesce(get(ends, i - 1), -1) as before)), h -> h.start >= h.before)"
+    made = "transform(heads, (h, i) -> struct(h.start as start, coalesce(get(heads, i + 1).before, element_at(ends, -1)) as end, h.kind as kind))"
+    line = f"array_sort(transform({spans}, s -> struct(s.start as start, s.end as end, s.kind as kind)))"
+    return with_value("line", line, f"case when size(line) = 0 then line else {with_value('ends', ends, with_value('heads', heads, made))} end")
+
+
+def _cut(start: str, end: str) -> str:
+    """SQL for the text from start to end out of its pieces of _PIECE code points, of which only those in question are read."""
+    first, last = f"cast(floor(a / {_PIECE}) as int)", f"cast(floor((z - 1) / {_PIECE}) as int)"
+    head = f"substr(get(pieces, {first}), a - {first} * {_PIECE} + 1, least(z - a, {_PIECE}))"
+    tail = f"array_join(slice(pieces, {first} + 2, greatest({last} - {first} - 1, 0)), '') || substr(get(pieces, {last}), 1, z - {last} * {_PIECE})"
+    return with_value("a", start, with_value("z", end, f"case when z <= a then '' when {first} = {last} then {head} else {head} || {tail} end"))
+
+
 def redact(df: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """df with every span of its text replaced by its kind in brackets; overlapping spans become one. Null texts stay null."""
-    c = find_spans(df, trees, text)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    merged = F.aggregate(
-        ordered,
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda a, s: let(
-            F.try_element_at(a, F.lit(-1)),
-            lambda last: F.when(
-                last.isNotNull() & (s["start"] < last["end"]),
-                F.array_append(F.slice(a, 1, F.size(a) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))),
-            ).otherwise(F.array_append(a, s)),
-        ),
-    )
-    t = F.col(f"`{text}`")
-    c = c.withColumn("__m", merged)
-    pieces = F.transform("__m", lambda s, i: let(F.coalesce(F.get("__m", i - 1)["end"], F.lit(0)), lambda e: F.concat(F.substr(t, e + 1, s["start"] - e), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-    tail = F.substr(t, F.coalesce(F.try_element_at(F.col("__m"), F.lit(-1))["end"], F.lit(0)) + 1, F.char_length(t))
-    redacted = F.when(F.size("__m") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(t)
-    return c.withColumn(text, redacted).select(*(F.col(f"`{k}`") for k in df.columns))
+    """df with every span of its text replaced by its kind in brackets; overlapping spans become one. Null texts stay null.
+
+    Other columns stay as they are, whatever their names.
+    """
+    c = _found(df, trees, text, df.columns).withColumn("__spans", F.expr(_merged("__spans")))
+    parts = f"transform(__spans, (s, i) -> {_cut('coalesce(get(__spans, i - 1).end, 0)', 's.start')} || '[' || upper(s.kind) || ']')"
+    last = _cut("element_at(__spans, -1).end", f"char_length(`{text}`)")
+    replaced = with_value("pieces", f"regexp_extract_all(`{text}`, r'(?s).{{1,{_PIECE}}}+', 0)", f"array_join({parts}, '') || {last}")
+    redacted = F.expr(f"case when size(__spans) > 0 then {replaced} else `{text}` end")
+    return c.select(*((redacted if k == text else F.col(f"`{k}`")).alias(k) for k in df.columns))
