@@ -198,3 +198,80 @@ def test_scalars(spark):
     assert tuple(row) == (0.0, 14.5, None, 5.0, None, 5.0, None, 86_400_000, None)
     assert scalars.compact(" a \n b\t c ") == "a b c"
     assert lookup.screen_edges((10, 30), 10, 8, flipped=True) == (5, 7)
+
+
+def scan_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return " ".join(line for line in plan.split("\n") if "PushedFilters" in line)
+
+
+def test_brushes_reach_the_scan(spark, tmp_path):
+    days = spark.range(4000).select(
+        F.col("id").cast("double").alias("v"), F.expr("timestamp_seconds(id * 43200)").alias("ts"), F.expr("cast(timestamp_seconds(id * 43200) as timestamp_ntz)").alias("ntz"),
+        F.expr("cast(timestamp_seconds(id * 43200) as date)").alias("day"), F.expr("cast(id / 7 as decimal(12, 2))").alias("price"), (F.col("id") * 3).alias("big"),
+    )
+    days.write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    low, high = 200 * DAY + 3.5, 900 * DAY + 0.5
+    for name, brush, time in (("ts", (low, high), True), ("ntz", (low, high), True), ("day", (low, high), True), ("price", (100.005, 300.115), False), ("big", (30.5, 6000.0), False)):
+        d = Dimension(name, config=BinConfig(*brush, (brush[1] - brush[0]) / 10), time=time)
+        dims = {name: d}
+        for closed in (False, True):
+            got = cube.build_slice(df, [Dimension("v", config=BinConfig(0, 4000, 400))], [10], View0D(), {name: brush}, dims, closed=closed)
+            assert f"GreaterThanOrEqual({name}" in scan_filters(got.counts) and f"LessThanOrEqual({name}" in scan_filters(got.counts)
+            plain = df.where((d.value() >= brush[0]) & ((d.value() <= brush[1]) if closed else (d.value() < brush[1]))).count()
+            assert got.no_brush.first()["cnt"] == plain > 0
+        hist = aggregates.histogram(df, View1D(d))
+        assert sum(r["no_brush"] for r in hist.collect()) == df.where((d.value() >= brush[0]) & (d.value() < brush[1])).count()
+    wide = Dimension("price", config=BinConfig(-1e12, 1e12, 1e11))
+    assert aggregates.row_count(df, {"price": (-1e12, 1e12)}, {"price": wide}).first()["value"] == 4000
+
+
+def test_only_the_latest_job_counts(spark):
+    import threading
+    import time
+
+    from tidemark.plans.runner import Runner
+
+    runner, seen, started = Runner(spark), [], threading.Event()
+
+    def slow():
+        started.set()
+        return spark.range(8).repartition(8).mapInPandas(lambda parts: (time.sleep(20) or p for p in parts), "id long").count()
+
+    first = runner.run("index", slow, seen.append)
+    assert started.wait(20)
+    time.sleep(1)
+    began = time.perf_counter()
+    second = runner.run("index", lambda: spark.range(5).count(), seen.append)
+    assert second.result(60) == 5 == runner.result("index") and first.cancelled() and time.perf_counter() - began < 15
+    with pytest.raises(ValueError, match="no"):
+        runner.run("bad", lambda: (_ for _ in ()).throw(ValueError("no"))).result(20)
+    runner.cancel_all()
+    time.sleep(0.2)
+    assert seen == [5]
+
+
+def test_refines_in_background_and_flags_coarse_counts(table):
+    df, rows = table
+    s = Crossfilter(df, {"v": View1D(Dimension("v", 10, (0, 10))), "x": View1D(X), "n": View0D()}, Config(progressive=True))
+    assert s.brush("v", (2.05, 7.4))["n"].first()["value"] == direct(rows, View0D(), {"v": (2.0, 7.0)})[()] and s.approximate
+    fine = s.refine_in_background().result(60)
+    assert fine["n"].first()["value"] == direct(rows, View0D(), {"v": (2.05, 7.4)})[()] and not s.approximate
+    s.brush("x", (-0.5, 0.5))
+    s.close()
+
+
+def test_closed_ends_order_and_summaries(table):
+    df, rows = table
+    brushes = {"x": (-0.5, 0.5)}
+    got = aggregates.heatmap(df, View2D(V, W), {"v": (0, 3), "x": (-0.5, 0.5)}, DIMS, closed=True)
+    total = sum(r["value"] for r in got.collect())
+    assert total == sum(ok(r[1], 0, 10) and ok(r[2], 0, 4) and -0.5 <= r[3] <= 0.5 for r in rows)
+    ordered = [r["key"] for r in aggregates.in_order(aggregates.histogram(df, View1D(V), brushes, DIMS)).collect()]
+    assert ordered == sorted(ordered)
+    d = {r["name"]: r for r in aggregates.described(df.where("not isnan(v) and abs(v) < 1e9")).collect()}
+    assert set(d) == {"id", "v", "w", "x"} and d["id"]["low"] == 4.0 - 4 and d["w"]["n"] < d["x"]["n"] and d["x"]["q25"] < d["x"]["median"] < d["x"]["q75"]
+    assert aggregates.described(df.select(F.lit("a").alias("a"))).count() == 0
+    pairs = df.agg(F.collect_list("id").alias("a"), F.collect_list("id").alias("b c"))
+    assert scalars.rows_of(pairs, "a", "b c").count() == 800

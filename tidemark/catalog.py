@@ -15,7 +15,7 @@ from tidemark.operators import aggregates, cube, filters, lookup
 from tidemark.plans import fused
 from tidemark.session import Crossfilter
 from tidemark.sources import prepare, readers
-from tidemark.spec import BinConfig, Dimension, View, View0D, View1D, View2D
+from tidemark.spec import BinConfig, Config, Dimension, View, View0D, View1D, View2D
 from tidemark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,7 +82,7 @@ def pix(d: Dimension, pixels: int) -> str:
     return f"CASE WHEN {rng(val(d), c.start, c.stop)} AND {idx(val(d), c)} < {pixels} THEN {idx(val(d), c)} + 1 ELSE 0 END"
 
 
-def rows_sql(active: list[Dimension], pixels: list[int], view: View, brushes: dict) -> str:
+def rows_sql(active: list[Dimension], pixels: list[int], view: View, brushes: dict, closed: bool = False) -> str:
     """The view's rows with their pixels (0: outside on any axis) and keys."""
     axes, keys = cube.axis_names(len(active)), cube.key_names(view)
     own = " AND ".join(f"({pix(d, p)}) > 0" for d, p in zip(active, pixels, strict=True))
@@ -90,7 +90,7 @@ def rows_sql(active: list[Dimension], pixels: list[int], view: View, brushes: di
     columns += [f"{idx(val(d), d.config)} AS {k}" for d, k in zip(view.dimensions, keys, strict=True)]
     inside = " AND ".join(["TRUE", *(rng(val(d), d.config.start, d.config.stop) for d in view.dimensions)])
     omit = {d.name for d in active} | {d.name for d in view.dimensions}
-    return f"SELECT {', '.join(columns)} FROM lineitem WHERE {inside} AND {where(brushes, omit)}"
+    return f"SELECT {', '.join(columns)} FROM lineitem WHERE {inside} AND {where(brushes, omit, closed)}"
 
 
 def grid_sql(pixels: list[int], view: View) -> str:
@@ -100,11 +100,11 @@ def grid_sql(pixels: list[int], view: View) -> str:
     return ", ".join(parts) or "(SELECT 1)"
 
 
-def cube_sql(active: list[Dimension], pixels: list[int], view: View, brushes: dict) -> str:
+def cube_sql(active: list[Dimension], pixels: list[int], view: View, brushes: dict, closed: bool = False) -> str:
     axes, keys = cube.axis_names(len(active)), cube.key_names(view)
     on = " AND ".join([*(f"r.{a} BETWEEN 1 AND g.{a}" for a in axes), *(f"r.{k} = g.{k}" for k in keys)])
     shown = ", ".join(f"CAST(g.{c} AS INTEGER) AS {c}" for c in (*axes, *keys))
-    return f"""WITH r AS ({rows_sql(active, pixels, view, brushes)}), s AS (SELECT {', '.join((*axes, *keys))}, count(*) AS n FROM r GROUP BY ALL),
+    return f"""WITH r AS ({rows_sql(active, pixels, view, brushes, closed)}), s AS (SELECT {', '.join((*axes, *keys))}, count(*) AS n FROM r GROUP BY ALL),
       g AS (SELECT * FROM {grid_sql(pixels, view)})
       SELECT {shown}, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS cum FROM g LEFT JOIN s r ON {on} GROUP BY {', '.join('g.' + c for c in (*axes, *keys))}"""
 
@@ -154,6 +154,11 @@ def hist_closed(spark, sf_dir):
     return aggregates.histogram(items(spark, sf_dir), View1D(Q), ONE, DIMS, closed=True)
 
 
+@query("count_closed", f"SELECT count(*) AS no_brush, count(*) FILTER (WHERE {where(TWO, closed=True)}) AS value FROM lineitem")
+def count_closed(spark, sf_dir):
+    return aggregates.row_count(items(spark, sf_dir), TWO, DIMS, closed=True)
+
+
 _TOTAL = Dimension("o_totalprice", 25, config=binning.nice_bins(25, (0, 600000)))
 _VALUE = Dimension("value", 25, config=binning.nice_bins(25, (0, 1000)))
 
@@ -168,17 +173,17 @@ def hist_events_value(spark, sf_dir):
     return aggregates.histogram(spark.read.parquet(f"{sf_dir}/events.parquet"), View1D(_VALUE))
 
 
-def _heat_sql(brushes: dict) -> str:
-    return f"""WITH c AS (SELECT {idx(val(P), P.config)} AS x, {idx(val(Q), Q.config)} AS y, count(*) AS n, count(*) FILTER (WHERE {where(brushes, (P.name, Q.name))}) AS f
-        FROM lineitem WHERE {rng(val(P), P.config.start, P.config.stop)} AND {rng(val(Q), Q.config.start, Q.config.stop)} GROUP BY 1, 2)
+def _heat_sql(brushes: dict, closed: bool = False) -> str:
+    return f"""WITH c AS (SELECT {idx(val(P), P.config)} AS x, {idx(val(Q), Q.config)} AS y, count(*) AS n, count(*) FILTER (WHERE {where(brushes, (P.name, Q.name), closed)}) AS f
+        FROM lineitem WHERE {rng(val(P), P.config.start, P.config.stop, closed)} AND {rng(val(Q), Q.config.start, Q.config.stop, closed)} GROUP BY 1, 2)
       SELECT CAST(a.i AS INTEGER) AS key_x, CAST(b.j AS INTEGER) AS key_y, {num(P.config.start)} + a.i * {num(P.config.step)} AS x_start, {num(Q.config.start)} + b.j * {num(Q.config.step)} AS y_start,
         CAST(coalesce(n, 0) AS BIGINT) AS no_brush, CAST(coalesce(f, 0) AS BIGINT) AS value
       FROM range({P.config.count}) a(i), range({Q.config.count}) b(j) LEFT JOIN c ON c.x = a.i AND c.y = b.j"""
 
 
-for _name, _b in (("heatmap_price_quantity", {}), ("heatmap_brushed", TWO)):
-    query(_name, _heat_sql(_b).replace("range(" + str(P.config.count) + ") a(i), range(" + str(Q.config.count) + ") b(j)", f"(SELECT * FROM range({P.config.count}) a(i), range({Q.config.count}) b(j)) g").replace("a.i", "g.i").replace("b.j", "g.j"))(
-        lambda spark, sf_dir, b=_b: aggregates.heatmap(items(spark, sf_dir), View2D(P, Q), b, DIMS)
+for _name, _b, _c in (("heatmap_price_quantity", {}, False), ("heatmap_brushed", TWO, False), ("heatmap_closed", {**TWO, "l_tax": (0.02, 0.06)}, True)):
+    query(_name, _heat_sql(_b, _c).replace("range(" + str(P.config.count) + ") a(i), range(" + str(Q.config.count) + ") b(j)", f"(SELECT * FROM range({P.config.count}) a(i), range({Q.config.count}) b(j)) g").replace("a.i", "g.i").replace("b.j", "g.j"))(
+        lambda spark, sf_dir, b=_b, c=_c: aggregates.heatmap(items(spark, sf_dir), View2D(P, Q), b, DIMS, c)
     )
 
 # cubes and brushes: (name, active, pixels, passive view, brush in pixels, fractional brush)
@@ -205,6 +210,15 @@ for _name, _a, _p, _v, _w, _f in _CASES:
     query(f"no_brush{_name}", brush_sql(_a, _p, _v, _OTHER, None))(lambda spark, sf_dir, a=_a, p=_p, v=_v: lookup.cleared(_slice(spark, sf_dir, a, p, v)))
 
 
+_ENDS = {"l_discount": (0.01, 0.08), "l_tax": (0.0, 0.05)}
+
+
+@query("cube1d_closed", cube_sql([Q], [50], View1D(P), _ENDS, closed=True))
+def cube_closed(spark, sf_dir):
+    """Brushes that hold their upper ends."""
+    return cube.build_slice(items(spark, sf_dir), [Q], [50], View1D(P), _ENDS, DIMS, closed=True).cumulative
+
+
 @query("brush1d_1d_truncated", brush_sql([Q], [50], View1D(P), _OTHER, [(10.25, 35.5)]))
 def brush_truncated(spark, sf_dir):
     return lookup.brushed_counts(_slice(spark, sf_dir, [Q], [50], View1D(P)), [(10.25, 35.5)], truncate=True)
@@ -253,6 +267,18 @@ def session_brush(spark, sf_dir):
     return session.brush("quantity", (35.0, 10.0))["price"]
 
 
+@query("session_progressive", f"SELECT 'coarse' AS stage, true AS approximate, * FROM ({brush_sql([Q], [25], View1D(P), ONE, [(5, 18)])}) UNION ALL SELECT 'fine', false, * FROM ({brush_sql([Q], [600], View1D(P), ONE, [(125, 425)])})")
+def session_progressive(spark, sf_dir):
+    """A brush answered from slices at the resolution of bins, then from those of full resolution."""
+    views = {"discount": View1D(D), "quantity": View1D(Q), "price": View1D(P), "count": View0D()}
+    session = Crossfilter(items(spark, sf_dir), views, Config(progressive=True))
+    session.brush("discount", ONE["l_discount"])
+    brush = (125 / 12, 425 / 12)
+    coarse = session.brush("quantity", brush)["price"].select(F.lit("coarse").alias("stage"), F.lit(session.approximate).alias("approximate"), "*")
+    fine = session.refine()["price"].select(F.lit("fine").alias("stage"), F.lit(session.approximate).alias("approximate"), "*")
+    return coarse.unionByName(fine)
+
+
 # expressions
 
 _KEYS = "l_orderkey, l_linenumber"
@@ -343,6 +369,32 @@ def summary(spark, sf_dir):
     return items(spark, sf_dir).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"))
 
 
+_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("describe_columns", " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS low, max({c}) AS high FROM lineitem" for c in _NUMBERS))
+def describe_columns(spark, sf_dir):
+    """Several columns' summaries from one scan; quartiles, which are approximate, are left out here."""
+    found = aggregates.described(items(spark, sf_dir), *_NUMBERS)
+    return found.select("name", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "low", "high")
+
+
+@query("rows_of_arrays", f"SELECT key, value FROM ({hist_sql(Q, ONE)})")
+def rows_of_arrays(spark, sf_dir):
+    """A chart's data as arrays, taken apart again."""
+    bins = F.array_sort(F.collect_list(F.struct("key", "value")))
+    arrays = aggregates.histogram(items(spark, sf_dir), View1D(Q), ONE, DIMS).agg(bins.alias("bins")).select("bins.key", "bins.value")
+    return scalars.rows_of(arrays, "key", "value")
+
+
+@query("query_log", f"SELECT 'SELECT count(*) AS n FROM {{data}} WHERE l_quantity < 10' AS query, 1::BIGINT AS rows UNION ALL SELECT 'SELECT l_tax, count(*) AS n FROM {{data}} GROUP BY l_tax', count(DISTINCT l_tax) FROM lineitem")
+def query_log(spark, sf_dir):
+    log = live.QueryLog(spark)
+    for text in ("SELECT count(*) AS n\nFROM {data} WHERE l_quantity < 10", "SELECT l_tax, count(*) AS n FROM {data}  GROUP BY l_tax"):
+        readers.sql(items(spark, sf_dir), text, log)
+    return log.table().select("query", "rows")
+
+
 @query("interaction_log", "SELECT 'l_discount' AS dimension, 'create' AS action, 1::BIGINT AS changes UNION ALL SELECT 'l_quantity', 'create', 1 UNION ALL SELECT 'l_quantity', 'move', 1 UNION ALL SELECT 'l_quantity', 'clear', 1")
 def interaction_log(spark, sf_dir):
     log = live.InteractionLog(spark)

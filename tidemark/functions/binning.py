@@ -107,10 +107,14 @@ def bin_index(value: Column, config: BinConfig) -> Column:
     return F.floor((value - F.lit(float(config.start))) / F.lit(float(config.step))).cast("int")
 
 
+def in_bins(value: Column, config: BinConfig, closed: bool = False) -> Column:
+    """Values that a bin holds. Rounding may put one just below the end past the last bin; closed lets the end itself pass, which has no bin."""
+    return inside(value, config.start, config.stop, closed) & (fractional_bin(value, config) < F.lit(float(config.count)))
+
+
 def bin_or(value: Column, config: BinConfig, outside: int = -1) -> Column:
     """The bin of a value, or outside for values not in the domain and nulls."""
-    at = F.when(inside(value, config.start, config.stop), bin_index(value, config))
-    return F.when((at >= 0) & (at < config.count), at).otherwise(F.lit(outside))
+    return F.when(in_bins(value, config), bin_index(value, config)).otherwise(F.lit(outside))
 
 
 def fractional_bin(value: Column, config: BinConfig) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,12 @@ def repeat_visible(value: Column, order: Column, start: float, stop: float, part
     return F.coalesce(before, after)
 
 
+def rows_of(df: DataFrame, *arrays: str) -> DataFrame:
+    """A row for each position of array columns of equal length, with the values at it under the arrays' names."""
+    zipped = F.arrays_zip(*(F.col(f"`{a}`").alias(a) for a in arrays))
+    return df.select(F.inline(zipped)).toDF(*arrays)
+
+
 def share(value: Column, base: Column) -> Column:
     """value / base; null for an empty base."""
     return F.try_divide(value.cast("double"), base.cast("double"))

@@ -51,9 +51,9 @@ def with_bins(df: DataFrame, dimension: Dimension, domain: Interval | None = Non
     return replace(dimension, config=(time_bins if dimension.time else nice_bins)(dimension.bins, span))
 
 
-def row_count(df: DataFrame, brushes: Brushes | None = None, dimensions: Mapping[str, Dimension] | None = None) -> DataFrame:
+def row_count(df: DataFrame, brushes: Brushes | None = None, dimensions: Mapping[str, Dimension] | None = None, closed: bool = False) -> DataFrame:
     """(no_brush, value): all rows, and those within the brushes."""
-    keep = brushed(brushes or {}, dimensions or {})
+    keep = brushed(brushes or {}, dimensions or {}, closed=closed)
     return df.agg(F.count("*").alias("no_brush"), F.count_if(keep).alias("value"))
 
 
@@ -62,28 +62,53 @@ def histogram(df: DataFrame, view: View1D, brushes: Brushes | None = None, dimen
     d = view.dimension
     n = d.config.count
     keep = crossfiltered(view, brushes or {}, dimensions or {}, closed=closed)
-    binned = df.where(in_domain(view, closed)).select(bin_index(d.value(), d.config).alias("key"), keep.alias("keep"))
-    counts = binned.where((F.col("key") >= 0) & (F.col("key") < n)).groupBy("key").agg(F.count("*").alias("no_brush"), F.count_if("keep").alias("value"))
+    binned = df.where(in_domain(view, closed, df.schema)).select(bin_index(d.value(), d.config).alias("key"), keep.alias("keep"))
+    counts = binned.groupBy("key").agg(F.count("*").alias("no_brush"), F.count_if("keep").alias("value"))
     return dense(counts, n, ["key"], key=(0, n - 1)).select("key", bin_start(F.col("key"), d.config).alias("key_start"), "no_brush", "value")
 
 
-def heatmap(df: DataFrame, view: View2D, brushes: Brushes | None = None, dimensions: Mapping[str, Dimension] | None = None) -> DataFrame:
+def heatmap(df: DataFrame, view: View2D, brushes: Brushes | None = None, dimensions: Mapping[str, Dimension] | None = None, closed: bool = False) -> DataFrame:
     """(key_x, key_y, x_start, y_start, no_brush, value) of every cell, from one scan."""
     nx, ny = view.x.config.count, view.y.config.count
-    keep = crossfiltered(view, brushes or {}, dimensions or {})
-    binned = df.where(in_domain(view)).select(bin_index(view.x.value(), view.x.config).alias("key_x"), bin_index(view.y.value(), view.y.config).alias("key_y"), keep.alias("keep"))
-    counts = binned.where((F.col("key_x") >= 0) & (F.col("key_x") < nx) & (F.col("key_y") >= 0) & (F.col("key_y") < ny)).groupBy("key_x", "key_y").agg(F.count("*").alias("no_brush"), F.count_if("keep").alias("value"))
+    keep = crossfiltered(view, brushes or {}, dimensions or {}, closed=closed)
+    binned = df.where(in_domain(view, closed, df.schema)).select(bin_index(view.x.value(), view.x.config).alias("key_x"), bin_index(view.y.value(), view.y.config).alias("key_y"), keep.alias("keep"))
+    counts = binned.groupBy("key_x", "key_y").agg(F.count("*").alias("no_brush"), F.count_if("keep").alias("value"))
     full = dense(counts, nx * ny, ["key_x", "key_y"], key_x=(0, nx - 1), key_y=(0, ny - 1))
     return full.select("key_x", "key_y", bin_start(F.col("key_x"), view.x.config).alias("x_start"), bin_start(F.col("key_y"), view.y.config).alias("y_start"), "no_brush", "value")
 
 
-def shown(df: DataFrame, view: View, brushes: Brushes, dimensions: Mapping[str, Dimension]) -> DataFrame:
+def shown(df: DataFrame, view: View, brushes: Brushes, dimensions: Mapping[str, Dimension], closed: bool = False) -> DataFrame:
     """The chart data of any view."""
     if isinstance(view, View1D):
-        return histogram(df, view, brushes, dimensions)
+        return histogram(df, view, brushes, dimensions, closed)
     if isinstance(view, View2D):
-        return heatmap(df, view, brushes, dimensions)
-    return row_count(df, brushes, dimensions)
+        return heatmap(df, view, brushes, dimensions, closed)
+    return row_count(df, brushes, dimensions, closed)
+
+
+def in_order(data: DataFrame) -> DataFrame:
+    """Chart data by its keys, as charts draw it: of a result of any operator here, whose rows are as many as bins."""
+    keys = [c for c in ("brush", "pixel", "pixel_x", "pixel_y", "key", "key_x", "key_y") if c in data.columns]
+    return data.orderBy(*keys) if keys else data
+
+
+def described(df: DataFrame, *columns: str) -> DataFrame:
+    """(name, n, mean, std, low, q25, median, q75, high) of numeric columns (all of them if none are named), from one scan.
+
+    Quartiles are approximate to a ten-thousandth of the rows; nulls are left out.
+    """
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    names = columns or [n for n, t in df.dtypes if t.split("(")[0] in numeric]
+    if not names:
+        return df.sparkSession.createDataFrame([], "name string, n bigint, mean double, std double, low double, q25 double, median double, q75 double, high double")
+
+    def of(name: str) -> Column:
+        v = F.col(f"`{name}`").cast("double")
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000)
+        parts = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "low": F.min(v), "q25": q[0], "median": q[1], "q75": q[2], "high": F.max(v)}
+        return F.struct(F.lit(name).alias("name"), *(c.alias(k) for k, c in parts.items()))
+
+    return df.agg(F.array(*(of(n) for n in names)).alias("all")).select(F.inline("all"))
 
 
 def normalized(hist: DataFrame, value: str = "value", total: str = "share") -> DataFrame:

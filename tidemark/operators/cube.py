@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.binning import bin_index, bin_or
+from tidemark.functions.binning import bin_index, in_bins
 from tidemark.operators.aggregates import dense
-from tidemark.operators.filters import Brushes, crossfiltered, in_domain
+from tidemark.operators.filters import Brushes, conjunction, crossfiltered, in_domain
 from tidemark.spec import CubeSlice, Dimension, View
 
 #: Cells that a dense slice may have unless told otherwise.
@@ -27,11 +27,9 @@ def key_names(view: View) -> tuple[str, ...]:
 
 def pixel_columns(active: Sequence[Dimension], pixels: Sequence[int]) -> list[Column]:
     """The pixel of a row on each active axis from 1; 0 on every axis if it is outside on any."""
-    own = [bin_or(d.value(), d.config.resized(p)) + 1 for d, p in zip(active, pixels, strict=True)]
-    outside = own[0] == 0
-    for p in own[1:]:
-        outside = outside | (p == 0)
-    return [F.when(outside, F.lit(0)).otherwise(p) for p in own]
+    fine = [(d.value(), d.config.resized(p)) for d, p in zip(active, pixels, strict=True)]
+    within = conjunction(in_bins(v, c) for v, c in fine)
+    return [F.when(within, bin_index(v, c) + 1).otherwise(F.lit(0)) for v, c in fine]
 
 
 def key_columns(view: View) -> list[Column]:
@@ -56,19 +54,18 @@ def assemble(counts: DataFrame, pixels: Sequence[int], bins: Sequence[int], max_
     return CubeSlice(tuple(pixels), tuple(bins), counts, full.withColumnRenamed("cnt", "cum"), rolled, axes, keys)
 
 
-def build_slice(df: DataFrame, active: Sequence[Dimension], pixels: Sequence[int], passive: View, brushes: Brushes, dimensions: dict[str, Dimension], max_cells: int = MAX_CELLS) -> CubeSlice:
+def build_slice(df: DataFrame, active: Sequence[Dimension], pixels: Sequence[int], passive: View, brushes: Brushes, dimensions: dict[str, Dimension], max_cells: int = MAX_CELLS, closed: bool = False) -> CubeSlice:
     """The slice of a passive view under one or two active dimensions.
 
     All brushes apply but those of the passive view's and the active dimensions. Rows outside the active domain, or null
-    on it, count in no_brush alone. One scan and one partial/final aggregation give at most a row for each cell.
+    on it, count in no_brush alone. One scan and one partial/final aggregation give at most a row for each cell. closed
+    lets rows at the upper ends of the brushes pass.
     """
     keys = key_names(passive)
-    rows = df.where(crossfiltered(passive, brushes, dimensions, [d.name for d in active]) & in_domain(passive))
+    rows = df.where(crossfiltered(passive, brushes, dimensions, [d.name for d in active], closed, df.schema) & in_domain(passive, schema=df.schema))
     axes = axis_names(len(active))
     binned = rows.select(*(c.alias(a) for c, a in zip(pixel_columns(active, pixels), axes, strict=True)), *key_columns(passive))
     bins = [d.config.count for d in passive.dimensions]
-    for k, n in zip(keys, bins, strict=True):
-        binned = binned.where((F.col(k) >= 0) & (F.col(k) < n))
     return assemble(binned.groupBy(*axes, *keys).agg(F.count("*").alias("cnt")), pixels, bins, max_cells)
 
 

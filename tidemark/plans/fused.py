@@ -7,25 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.binning import bin_or
+from tidemark.functions.binning import bin_index
 from tidemark.operators.cube import MAX_CELLS, assemble, axis_names, key_names, pixel_columns
-from tidemark.operators.filters import Brushes, crossfiltered, in_domain
+from tidemark.operators.filters import Brushes, brushed, crossfiltered, in_domain
 from tidemark.spec import CubeSlice, Dimension, View
 
 
-def fused_counts(df: DataFrame, active: Sequence[Dimension], pixels: Sequence[int], views: Mapping[str, View], brushes: Brushes, dimensions: dict[str, Dimension]) -> DataFrame:
+def fused_counts(df: DataFrame, active: Sequence[Dimension], pixels: Sequence[int], views: Mapping[str, View], brushes: Brushes, dimensions: dict[str, Dimension], closed: bool = False) -> DataFrame:
     """(view, pixel axes, key_x, key_y, cnt): sparse counts of every view.
 
     A row of the table becomes one entry for each view whose filters it passes, and entries are combined before the
-    shuffle, so the table is read once and what is shuffled is bounded by the cells.
+    shuffle, so the table is read once and what is shuffled is bounded by the cells. Brushes on dimensions that no view
+    shows filter every view, so they filter the scan.
     """
+    shown = {d.name for v in views.values() for d in v.dimensions} | {d.name for d in active}
+    df = df.where(brushed(brushes, dimensions, shown, closed, df.schema))
     axes = axis_names(len(active))
     entries = []
     for name, view in views.items():
-        keep = crossfiltered(view, brushes, dimensions, [d.name for d in active]) & in_domain(view)
-        keys = [bin_or(d.value(), d.config) for d in view.dimensions] + [F.lit(0)] * (2 - len(view.dimensions))
-        for k in keys[: len(view.dimensions)]:
-            keep = keep & (k >= 0)
+        keep = crossfiltered(view, brushes, dimensions, [d.name for d in active], closed) & in_domain(view)
+        keys = [bin_index(d.value(), d.config) for d in view.dimensions] + [F.lit(0)] * (2 - len(view.dimensions))
         entries.append(F.when(keep, F.struct(F.lit(name).alias("view"), keys[0].alias("key_x"), keys[1].alias("key_y"))))
     rows = df.select(*(c.alias(a) for c, a in zip(pixel_columns(active, pixels), axes, strict=True)), F.explode(F.array(*entries)).alias("e")).where("e is not null")
     return rows.groupBy(F.col("e.view").alias("view"), *axes, F.col("e.key_x").alias("key_x"), F.col("e.key_y").alias("key_y")).agg(F.count("*").alias("cnt"))

@@ -13,6 +13,7 @@ from tidemark.operators.aggregates import shown, with_bins
 from tidemark.operators.cube import coarser
 from tidemark.operators.lookup import brushed_counts, cleared, edges
 from tidemark.plans.fused import fused_counts, fused_slices
+from tidemark.plans.runner import Runner
 from tidemark.spec import Config, CubeSlice, Dimension, Interval, View, View1D, View2D
 
 
@@ -36,6 +37,7 @@ class Crossfilter:
         self.brushes: dict[str, Interval] = {}
         self.active: str | None = None
         self._slices: dict[str, tuple[tuple[int, ...], DataFrame, dict[str, CubeSlice]]] = {}
+        self._runner: Runner | None = None
 
     def _bound(self, view: View) -> View:
         if isinstance(view, View1D):
@@ -46,11 +48,11 @@ class Crossfilter:
 
     def initial(self) -> dict[str, DataFrame]:
         """Chart data of every view, unbrushed."""
-        return {name: shown(self.df, view, {}, self.dimensions) for name, view in self.views.items()}
+        return {name: shown(self.df, view, {}, self.dimensions, self.config.closed) for name, view in self.views.items()}
 
     def charts(self) -> dict[str, DataFrame]:
         """Chart data of every view under the brushes, from the table."""
-        return {name: shown(self.df, view, self.brushes, self.dimensions) for name, view in self.views.items()}
+        return {name: shown(self.df, view, self.brushes, self.dimensions, self.config.closed) for name, view in self.views.items()}
 
     def pixels(self, name: str, progressive: bool = False) -> tuple[int, ...]:
         """The resolution of brushes on a view: its bins while progressive, else about a chart's pixels."""
@@ -82,12 +84,24 @@ class Crossfilter:
         others = {n: v for n, v in self.views.items() if n != name}
         if held and len(held[0]) == len(pixels) and all(a % b == 0 for a, b in zip(held[0], pixels, strict=True)):
             return {n: coarser(s, pixels, self.config.max_cells) for n, s in held[2].items()}
-        counts = fused_counts(self.df, view.dimensions, pixels, others, self.brushes, self.dimensions).persist()
-        slices = fused_slices(counts, pixels, others, self.config.max_cells)
+        return self._hold(name, pixels, self._count(name, pixels))
+
+    def _count(self, name: str, pixels: tuple[int, ...]) -> DataFrame:
+        others = {n: v for n, v in self.views.items() if n != name}
+        return fused_counts(self.df, self.views[name].dimensions, pixels, others, self.brushes, self.dimensions, self.config.closed).persist()
+
+    def _hold(self, name: str, pixels: tuple[int, ...], counts: DataFrame) -> dict[str, CubeSlice]:
+        slices = fused_slices(counts, pixels, {n: v for n, v in self.views.items() if n != name}, self.config.max_cells)
         self._drop(name)
         self._slices[name] = (pixels, counts, slices)
         return slices
 
+    @property
+    def approximate(self) -> bool:
+        """Are the counts under the active brush those of coarser pixels than the active view's full resolution?"""
+        held = self._slices.get(self.active) if self.active else None
+        return bool(held) and held[0] != self.pixels(self.active)
+
     def refine(self) -> dict[str, DataFrame]:
         """Replace the active view's coarse slices by those of full resolution and give the counts of all other views anew.
 
@@ -98,6 +112,28 @@ class Crossfilter:
             raise ValueError("no view is active")
         return self._counts(self.active, self.activate(self.active, progressive=False))
 
+    def refine_in_background(self, then=None):
+        """As refine(), while brushes go on being answered from coarse slices; a future of the fine counts.
+
+        then gets the counts once fine slices have replaced the coarse ones. A brush on another view, or a second call,
+        cancels the job; slices that are out of date when they are ready are dropped.
+        """
+        if self.active is None:
+            raise ValueError("no view is active")
+        name, held = self.active, self._slices.get(self.active)
+        pixels = self.pixels(name)
+        self._runner = self._runner or Runner(self.df.sparkSession)
+
+        def build() -> dict[str, DataFrame] | None:
+            counts = self._count(name, pixels)
+            counts.count()
+            if self.active != name or self._slices.get(name) is not held:
+                counts.unpersist()
+                return None
+            return self._counts(name, self._hold(name, pixels, counts))
+
+        return self._runner.run("refine", build, then)
+
     def prefetch(self) -> None:
         """Build the slices of every view that can be active."""
         active = self.active
@@ -121,6 +157,8 @@ class Crossfilter:
 
     def _moved(self, name: str) -> dict[str, DataFrame]:
         # other views' slices were built under this view's former brush
+        if self._runner and name != self.active:
+            self._runner.cancel_all()
         for other in [n for n in self._slices if n != name]:
             self._drop(other)
         slices = self.activate(name)
@@ -152,12 +190,14 @@ class Crossfilter:
             self.views = {n: self._bound(v) for n, v in self.views.items()}
             for other in list(self._slices):
                 self._drop(other)
-        return shown(self.df, self.views[name], self.brushes, self.dimensions)
+        return shown(self.df, self.views[name], self.brushes, self.dimensions, self.config.closed)
 
     def _drop(self, name: str) -> None:
         if held := self._slices.pop(name, None):
             held[1].unpersist()
 
     def close(self) -> None:
+        if self._runner:
+            self._runner.cancel_all()
         for name in list(self._slices):
             self._drop(name)

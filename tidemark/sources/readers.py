@@ -21,6 +21,14 @@ def parquet(spark: SparkSession, path: str, view: str | None = "data") -> DataFr
     return df
 
 
+def sql(df: DataFrame, query: str, log=None) -> DataFrame:
+    """A query in SQL over a table that it calls {data}; a QueryLog, where given, runs it and logs its rows and time."""
+    found = df.sparkSession.sql(query, data=df)
+    if log is not None:
+        log.run(query, found)
+    return found
+
+
 def described(df: DataFrame) -> DataFrame:
     """(name, type, nullable) of every column."""
     rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema]
@@ -83,7 +91,7 @@ def http_arrow(spark: SparkSession, url: str, queries: Sequence[str], schema: T.
         for batch in batches:
             for query in batch.column(0).to_pylist():
                 with urlopen(url + escape(query)) as answer:  # noqa: S310
-                    for part in pa.ipc.open_stream(answer.read()):
+                    for part in pa.ipc.open_stream(answer):  # batch by batch, as they arrive
                         yield pa.RecordBatch.from_arrays([part.column(n) for n in schema.names], schema.names)
 
     return spark.createDataFrame([(q,) for q in queries], "query string").repartition(len(queries), F.col("query")).mapInArrow(run, schema)

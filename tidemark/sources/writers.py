@@ -32,7 +32,11 @@ def columnar_json(df: DataFrame, order: str, rows: int = 1_000_000) -> str:
 
 
 def arrow_files(df: DataFrame, folder: str) -> DataFrame:
-    """One Arrow IPC file for each partition; (path, rows) of those written. The folder must be shared by executors."""
+    """Write one Arrow IPC file for each partition, now and once; (path, rows) of those that count.
+
+    The folder must be shared by executors. A task that is run again writes a file of another name, so read those listed.
+    The driver gets a row for each partition.
+    """
     from pyarrow import fs
 
     names = df.columns
@@ -53,4 +57,5 @@ def arrow_files(df: DataFrame, folder: str) -> DataFrame:
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows])], ["path", "rows"])
 
-    return df.select(*names).mapInArrow(run, "path string, rows long")
+    made = df.select(*names).mapInArrow(run, "path string, rows long").collect()
+    return df.sparkSession.createDataFrame(sorted(map(tuple, made)), "path string, rows long")

@@ -97,6 +97,7 @@ class Config:
     """Settings that change results or the resolution of brushes; the largest resolutions also bound a cube's cells."""
 
     interpolate: bool = False
+    closed: bool = False  # brushes and domains hold their upper ends
     progressive: bool | str = False  # True, False or "only2D"
     zoom: bool = True
     max_resolution_1d: float = math.inf

@@ -6,10 +6,12 @@ import time
 from collections.abc import Mapping
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.binning import bin_index
+from tidemark.functions.scalars import compact
 from tidemark.operators.cube import key_columns, key_names, pixel_columns
 from tidemark.operators.filters import Brushes, crossfiltered, in_domain
 from tidemark.spec import Dimension, Interval, View, View1D
@@ -20,7 +22,7 @@ def live_histogram(stream: DataFrame, view: View1D, brushes: Brushes | None = No
     d = view.dimension
     keep = crossfiltered(view, brushes or {}, dimensions or {})
     rows = stream.where(in_domain(view)).select(bin_index(d.value(), d.config).alias("key"), keep.alias("keep"))
-    return rows.where((F.col("key") >= 0) & (F.col("key") < d.config.count)).groupBy("key").agg(F.count("*").alias("no_brush"), F.count_if("keep").alias("value"))
+    return rows.groupBy("key").agg(F.count("*").alias("no_brush"), F.count_if("keep").alias("value"))
 
 
 def windowed_histogram(stream: DataFrame, view: View1D, time_column: str, window: str, lateness: str) -> DataFrame:
@@ -71,6 +73,25 @@ class InteractionLog:
         return self.table().where("active").groupBy("dimension", "action").agg(F.count("*").alias("changes"), F.min("time").alias("first"), F.max("time").alias("last"))
 
 
+class QueryLog:
+    """What was asked, how many rows came and how long it took."""
+
+    SCHEMA = "time timestamp, query string, rows long, millis double"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows = spark, []
+
+    def run(self, query: str, df: DataFrame) -> pa.Table:
+        """The rows of df, which are as few as a chart's, with an entry under the text of the query."""
+        now, began = datetime.now(UTC), time.perf_counter()
+        table = df.toArrow()
+        self.rows.append((now, compact(query), table.num_rows, 1000 * (time.perf_counter() - began)))
+        return table
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, self.SCHEMA)
+
+
 def timed(action, log) -> object:
     """The result of action(); log gets the seconds that it took."""
     began = time.perf_counter()
