@@ -86,6 +86,37 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.find_leaks(left, right.limit(0)).count() == 0 and decontamination.find_leaks(left.limit(0), right).count() == 0
 
 
+def test_repeated_items_are_texts_of_their_own(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    half = words("a", 12)
+    docs = [(1, half + " " + words("x", 9)), (2, words("a", 24)), (3, words("b", 24)), (3, words("c", 24)), (None, words("a", 24))]
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    # identical rows, texts of one size under one id, one text under two ids
+    items = [(7, words("a", 24)), (7, words("a", 24)), (8, words("a", 12) + " " + words("b", 12)), (8, words("b", 12) + " " + words("a", 12)), (9, words("b", 24)), (9, words("c", 24)), (10, words("c", 24))]
+    right = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontamination.find_leaks(left, right).collect()}
+    assert got == brute_leaks(docs[:3], items, 80) | {(3, 9): (20, 20), (3, 10): (20, 20)}
+    assert (1, 7) not in got and (1, 8) not in got and (2, 7) in got
+    assert {r["doc_id"] for r in decontamination.decontaminated(left, right).collect()} == {1, None}
+
+
+def test_shingles_that_all_items_share(spark):
+    template = " ".join(f"t{i}" for i in range(30))
+    items = [(i, f"{template} q{i}a q{i}b q{i}c q{i}d q{i}e q{i}f q{i}g") for i in range(300)]
+    docs = [(i, template + f" other words here {i} " + " ".join(f"o{i}x{k}" for k in range(20))) for i in range(200)] + [(1000 + i, items[i][1]) for i in range(0, 300, 7)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontamination.find_leaks(left, right).collect()}
+    assert got == brute_leaks(docs, items, 80) and len(got) >= 43
+
+
+def test_partitions_lose_no_more_than_their_sizes():
+    for top in (1, 2, 4, 8, 64, 128, 4096):
+        k, need = decontamination.partition_plan(top, 80)
+        assert k == min(top // 2 + 1, 32) and 1 <= need <= k
+        for size in {top // 2 + 1, top}:
+            assert need <= decontamination.plan_for(size, 80, k)[1]
+
+
 def test_sketch_plans_keep_the_chance_to_miss():
     assert decontamination.plan_for(1, 80) == (1, 1)
     for size in (5, 40, 500):

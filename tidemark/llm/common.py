@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words (space, tab to carriage return), as a Java character class.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
+#: Keys (longs) of an anti join that may be broadcast, some 20 MB.
+MOST_KEYS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = getattr(spark, "_tidemark_shared", None)
         if path is None:
-            if not spark.sparkContext.master.startswith("local"):
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             path = spark._tidemark_shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(path)
@@ -51,6 +54,17 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is not in gone, a frame of one long column; rows with a null key stay.
+
+    gone is written and counted: up to MOST_KEYS keys are sent to every executor, so that df stays where it is; more are
+    joined by a shuffle.
+    """
+    keys = written(gone.toDF("__gone"), "gone")
+    side = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+    return df.join(side, F.col(f"`{key}`").cast("long") == F.col("__gone"), "left_anti")
+
+
 @cache
 def _trim() -> Callable[[int], int] | None:
     """The C library's malloc_trim, where there is one."""

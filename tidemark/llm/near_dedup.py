@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bloom import bloom_filter, may_hold
+from tidemark.llm.bloom import bloom_filter
 from tidemark.llm.common import slices, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, sets
@@ -118,7 +118,7 @@ def _full_sets(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             ids = whole.column("doc_id")
-            near = may_hold(shared.value, pc.fill_null(ids, 0).to_numpy().view(np.uint64)) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            near = shared.value.may_hold(pc.fill_null(ids, 0).to_numpy().view(np.uint64)) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
             if not near.any():
                 continue
             for batch in slices(whole.filter(pa.array(near)), "text"):

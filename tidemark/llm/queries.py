@@ -157,12 +157,13 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _SHINGLES = "list_distinct([array_to_string(w[p : p + k - 1], chr(1)) for p in range(1, len(w) - k + 2)])"
 
 _OP3_SQL = f"""
-WITH i AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-item AS (SELECT item_id, k, len(s) AS n_item, unnest(s) AS shingle FROM (SELECT item_id, k, {_SHINGLES} AS s FROM i)),
-d AS (SELECT doc_id, w, ks.k FROM (SELECT doc_id, {_WORDS} AS w FROM documents) d, (SELECT DISTINCT k FROM i) ks WHERE len(w) >= ks.k),
-doc AS (SELECT doc_id, k, unnest(s) AS shingle FROM (SELECT doc_id, k, {_SHINGLES} AS s FROM d))
-SELECT doc_id, item_id, count(*) AS n_shared, CAST(n_item AS BIGINT) AS n_item FROM doc JOIN item USING (k, shingle)
-GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+WITH i AS (SELECT item_id, w, least(len(w), 5) AS k, row_number() OVER () AS row FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+item AS (SELECT row, item_id, k, len(s) AS n_item, unnest(s) AS shingle FROM (SELECT row, item_id, k, {_SHINGLES} AS s FROM i)),
+d AS (SELECT doc_id, w, ks.k FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL) d, (SELECT DISTINCT k FROM i) ks WHERE len(w) >= ks.k),
+doc AS (SELECT DISTINCT doc_id, k, unnest(s) AS shingle FROM (SELECT doc_id, k, {_SHINGLES} AS s FROM d)),
+met AS (SELECT doc_id, item_id, count(*) AS n_shared, CAST(n_item AS BIGINT) AS n_item FROM doc JOIN item USING (k, shingle)
+  GROUP BY doc_id, item_id, row, n_item HAVING 100 * count(*) >= 80 * n_item)
+SELECT doc_id, item_id, m.n_shared AS n_shared, m.n_item AS n_item FROM (SELECT doc_id, item_id, max({{'n_shared': n_shared, 'n_item': n_item}}) AS m FROM met GROUP BY doc_id, item_id)
 """
 
 _OP4_SQL = f"""
