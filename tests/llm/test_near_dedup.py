@@ -60,10 +60,11 @@ def test_groups_equal_brute_force(spark):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
-@pytest.mark.parametrize("most", [64, 1])
-def test_blocks_compare_all(spark, monkeypatch, most):
+@pytest.mark.parametrize(("pivots", "bytes_"), [(2, 1 << 20), (0, 1 << 20), (1, 3000)])
+def test_blocks_compare_all(spark, monkeypatch, pivots, bytes_):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "MOST_BLOCKS", most)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", bytes_)
     rows = family_rows()[:120]
     out = near_dedup.near_duplicates(documents(spark, rows), percent=80).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows, 80)
@@ -77,6 +78,23 @@ def test_null_ids_and_repeated_rows(spark):
     assert near_dedup.deduplicated(df).count() == 3
 
 
+def test_ids_with_several_texts_join_their_groups(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(9, a), (9, b), (5, a), (7, b), (3, "other words that are only here")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == {(9, 5), (5, 5), (7, 5), (3, 3)}
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import glob
+
+    from tidemark.llm.common import shared_dir
+
+    held = lambda: set(glob.glob(shared_dir(spark).removeprefix("file://") + "/tidemark-*"))
+    before = held()
+    near_dedup.near_duplicates(documents(spark, family_rows()[:60]))
+    assert len(held() - before) == 1
+
+
 def test_signatures_are_super_minhash():
     rnd = np.random.default_rng(1)
     groups = [np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 7, 60, 900, 5000)]

@@ -42,12 +42,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): of every node in edges (two long columns) the least node that it is connected with.
 
     Each round points every node to its least neighbour, follows the pointers twice more and contracts the edges, so
-    rounds grow with the logarithm of the longest path. Tables between rounds are written to the shared folder.
-    Hubs are aggregated before the shuffle and joined on unique keys. Self-loops give nothing.
+    rounds grow with the logarithm of the longest path. Tables between rounds are written to the shared folder and deleted
+    when the result, a table there too, is written. Hubs are aggregated before the shuffle and joined on unique keys.
+    Self-loops give nothing.
     """
     edges = edges.toDF("a", "b").where("a <> b")
     edges = written(edges.mapInArrow(_forest, "a long, b long"), "edges")
-    labels = None
+    labels, parents = None, []
     while labels is None or not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
@@ -55,6 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("next"))
             parent = parent.join(above, "up").select("node", F.col("next").alias("up"))
         parent = written(parent, "parents")
+        parents.append(parent)
         if labels is None:
             labels = parent.select("node", F.col("up").alias("component"))
         else:
@@ -66,4 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         fresh = written(contracted, "edges")
         drop_written(edges)
         edges = fresh
-    return labels
+    out = written(labels, "components")
+    for table in (edges, *parents):
+        drop_written(table)
+    return out

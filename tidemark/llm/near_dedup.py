@@ -5,16 +5,18 @@ in a random order of its own and its value at the j-th visit lies in [j, j+1), s
 components and a document stops as soon as no later visit can lower any of them. Documents that agree in a whole
 band meet in a bucket.
 
-Exact copies collapse to one representative first. Documents that meet in buckets form families, and the members of a
-family are compared by signature, then on full sets, by falling similarity and only until they belong together. Larger
-families are cut into blocks, of which two at a time are compared: a link from each member to its least bucket mate joins
-most of them first, and the largest group is not compared with itself again. All links are confirmed on full sets.
+Exact copies collapse to one representative first. In every bucket, whatever its size, members that do not belong
+together yet are compared: first, in rounds, the least member of each group with the least member of the bucket's largest
+group, which joins most of them; then all that are still apart, in pairs of blocks bounded by members and bytes, without
+comparing the largest group with itself. Signatures alone are sent to the blocks; sets follow for the members that have a
+likely partner there. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import bloom_filter
-from tidemark.llm.common import slices, written
+from tidemark.llm.common import drop_written, slices, without, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, sets
 
@@ -33,10 +35,10 @@ SIGNATURE = 192
 MISS = 1e-6
 #: Deviations below the threshold at which an estimate still sends a pair to verification.
 SLACK = 4.5
-#: Members of a family or bucket that one block holds.
-BLOCK = 512
-#: Blocks up to which the members of a family are compared as one team.
-MOST_BLOCKS = 64
+#: Members of a bucket, and bytes of their sets, that one block holds.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: Rounds in which groups are compared with their bucket's largest one.
+PIVOTS = 2
 _UNSET = np.iinfo(np.uint64).max
 _SHIFT = np.uint64(53)
 
@@ -122,7 +124,8 @@ def _full_sets(shared):
             if not near.any():
                 continue
             for batch in slices(whole.filter(pa.array(near)), "text"):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets(batch.column("text"))], pa.binary())], ["doc_id", "set"])
+                found = [s.tobytes() for s in sets(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "print", "set"])
 
     return run
 
@@ -136,6 +139,25 @@ def _links(percent: int, one: np.ndarray, others: list[np.ndarray]) -> np.ndarra
     return 100 * common >= percent * (sizes + len(one) - common)
 
 
+def _least(percent: int) -> int:
+    """Equal signature components of a pair that goes on to verification."""
+    threshold = percent / 100
+    return math.ceil(SIGNATURE * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SIGNATURE)))
+
+
+def _alike(percent: int):
+    """Pairs whose signatures are near enough."""
+    least = _least(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE) for c in ("sig_a", "sig_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((one == other).sum(axis=1) >= least))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,50 +171,102 @@ def _ints(scalar: pa.BinaryScalar) -> np.ndarray:
     return np.frombuffer(scalar.as_buffer(), dtype=np.uint64)
 
 
+def _pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members of two blocks that carry different labels and have signatures near enough: places and equal components."""
+    label, block, size = (group.column(c).to_numpy() for c in ("label", "block", "n_shingles"))
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint16).reshape(len(label), SIGNATURE)
+    first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    left, right, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    least = _least(percent)
+    for x in first:
+        others = second[second > x] if i == j else second
+        others = others[label[others] != label[x]]
+        others = others[100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])]
+        if len(others):
+            equal = (sig[others] == sig[x]).sum(axis=1)
+            near = equal >= least
+            left.append(np.full(int(near.sum()), x))
+            right.append(others[near])
+            score.append(equal[near])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(score)
+
+
+def _likely(percent: int):
+    """The members of two blocks that have a likely partner in the other."""
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b, _ = _pairs(group.combine_chunks(), percent)
+        return group.drop_columns(["signature"]).take(pa.array(np.unique(np.r_[a, b])))
+
+    return run
+
+
 def _compare(percent: int):
     """Links between members of two blocks that do not belong together yet, as few as join them.
 
     Pairs are tried by falling similarity of their signatures, on full sets, until they belong together by earlier ones.
     """
-    threshold = percent / 100
-    least = math.ceil(SIGNATURE * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SIGNATURE)))
 
     def run(group: pa.Table) -> pa.Table:
         # rows of one document may share its id under several texts
         group = group.combine_chunks()
-        doc, label, block = (group.column(c).to_numpy() for c in ("doc", "label", "block"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint16).reshape(len(doc), SIGNATURE)
+        doc = group.column("doc").to_numpy()
         full = [_ints(x) for x in group.column("set")]
-        sizes = np.array([len(x) for x in full])
-        _, root = np.unique(label, return_inverse=True)
+        _, root = np.unique(group.column("label").to_numpy(), return_inverse=True)
         root = root.astype(np.int64)
-        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        left, right, score = [], [], []
-        for x in first:
-            others = second[second > x] if i == j else second
-            others = others[root[others] != root[x]]
-            others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
-            if len(others):
-                equal = (sig[others] == sig[x]).sum(axis=1)
-                near = equal >= least
-                left.append(np.full(int(near.sum()), x))
-                right.append(others[near])
-                score.append(equal[near])
+        a, b, score = _pairs(group, percent)
         out: list[tuple[int, int]] = []
-        if left:
-            a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-            for k in np.lexsort((b, a, -s)):
-                x, y = int(a[k]), int(b[k])
-                if root[x] != root[y] and _links(percent, full[x], [full[y]])[0]:
-                    out.append((int(doc[x]), int(doc[y])))
-                    root[root == root[y]] = root[x]
+        for k in np.lexsort((b, a, -score)):
+            x, y = int(a[k]), int(b[k])
+            if root[x] != root[y] and _links(percent, full[x], [full[y]])[0]:
+                out.append((int(doc[x]), int(doc[y])))
+                root[root == root[y]] = root[x]
         ends = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": ends.min(axis=1) if len(ends) else ends[:, 0], "b": ends.max(axis=1) if len(ends) else ends[:, 1]})
 
     return run
 
 
+def _labelled(buckets: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """buckets with each member's group so far, for those whose members carry several labels, and each bucket's largest group."""
+    group = components(reduce(DataFrame.union, links))
+    labels = group.select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    buckets = buckets.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    sizes = buckets.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
+    # of equally large groups that with the least member
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("least")).alias("minus"), "label")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
+    main = main.select("bucket", F.col("m.label").alias("main"), (-F.col("m.minus")).alias("pivot"))
+    members = written(buckets.join(main, "bucket"), "members")
+    drop_written(group)
+    return members
+
+
+def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are near by their signatures and linked on full sets."""
+    of = lambda column, doc, name: full.select(F.col("doc_id").alias(doc), F.col(column).alias(f"{name}_{doc}"))
+    alike = pairs.join(of("signature", "a", "sig"), "a").join(of("signature", "b", "sig"), "b").mapInArrow(_alike(percent), "a long, b long")
+    return alike.join(of("set", "a", "set"), "a").join(of("set", "b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _apart(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket that carry different labels, by pairs of blocks."""
+    own = full.select(F.col("doc_id").alias("doc"), "n_shingles", "signature")
+    members = members.select("bucket", "doc", "label", (F.col("label") == F.col("main")).alias("inside")).join(own, "doc")
+    sums = lambda inside: F.ceil(F.greatest(F.count_if(inside) / BLOCK, 8 * F.sum(F.when(inside, F.col("n_shingles")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    counts = members.groupBy("bucket").agg(sums(~F.col("inside")).alias("outer"), sums(F.col("inside")).alias("inner"))
+    # blocks from 0 hold what is apart, those after them the largest group, which is not compared with itself
+    hashed = F.xxhash64("doc")
+    blocks = members.join(counts, "bucket").withColumn("block", F.when(F.col("inside"), F.col("outer") + F.pmod(hashed, F.col("inner"))).otherwise(F.pmod(hashed, F.col("outer"))).cast("int"))
+    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    blocks = blocks.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "label", "block", "n_shingles", "signature")
+    likely = blocks.groupBy("bucket", "i", "j").applyInArrow(_likely(percent), "bucket long, i int, j int, doc long, label long, block int, n_shingles long")
+    # texts that share an id come back with all their sets
+    likely = likely.drop("n_shingles").distinct().join(full.withColumnRenamed("doc_id", "doc"), "doc")
+    return likely.groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of df.
 
@@ -200,7 +274,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     as one; without words or text it is empty and linked with nothing. Documents are linked where 100 * intersection
     >= percent * union. component_id is the least id reachable over links, kept says whether it is the row's own.
     Rows with a null id are linked with nothing, have a null component_id and are kept; rows that share an id count as
-    one document. An empty table gives an empty one; other columns of df are ignored.
+    one document. An empty table gives an empty one; other columns of df are ignored. The result is a table in the
+    shared folder; those that led to it are deleted.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bands, rows = bands_for(percent / 100)
@@ -219,52 +294,44 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         .where("n > 1")
         .groupBy("hub", "n", "members")
         .agg(F.min(F.struct("band", "bucket")).alias("b"))
-        .select("hub", "n", "b.band", "b.bucket")
+        .select("b.band", "b.bucket")
     )
-    buckets = written(banded.join(kept, ["bucket", "band"]).select("bucket", "hub", "doc"), "buckets")
+    buckets = written(banded.join(kept, ["bucket", "band"]).select("bucket", "doc"), "buckets")
     met = buckets.select(F.col("doc").alias("doc_id")).distinct()
     shared = df.sparkSession.sparkContext.broadcast(bloom_filter(met))
-    full = written(docs.mapInArrow(_full_sets(shared), "doc_id long, set binary").join(met, "doc_id", "left_semi").join(own.select("doc_id", "signature"), "doc_id"), "sets")
-
-    # documents that meet in buckets, directly or through others, are a family; links lie within families
-    family = written(components(buckets.where("doc <> hub").select("doc", "hub")), "families").select(F.col("node").alias("doc"), F.col("component").alias("family"))
-    sized = family.join(family.groupBy("family").agg(F.count("*").alias("n")), "family")
-    small = sized.where(F.col("n") <= BLOCK).select("doc", F.col("family").alias("team"), F.col("doc").alias("label"))
-    small = small.select("*", *(F.lit(0).alias(c) for c in ("block", "i", "j")), F.lit(False).alias("by_bucket"))
-
-    # in larger ones a link to each document's least bucket mate joins most, and only what stays apart is compared
-    large = sized.where(F.col("n") > BLOCK)
-    stars = buckets.where("doc <> hub").join(large.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.min("hub").alias("hub"))
-    left = full.select(F.col("doc_id").alias("doc"), F.col("set").alias("set_a"))
-    right = full.select(F.col("doc_id").alias("hub"), F.col("set").alias("set_b"))
-    links = stars.join(left, "doc").join(right, "hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"), "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
-    links = written(links, "links")
-    labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    # of a family too large even for blocks, each bucket is a team of its own
-    teams = large.where(F.col("n") <= BLOCK * MOST_BLOCKS).select("doc", F.col("family").alias("team"), F.lit(False).alias("by_bucket"))
-    teams = teams.union(buckets.join(large.where(F.col("n") > BLOCK * MOST_BLOCKS), "doc", "left_semi").select("doc", F.col("bucket").alias("team"), F.lit(True).alias("by_bucket")))
-    teams = teams.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    by_label = teams.groupBy("by_bucket", "team", "label").agg(F.count("*").alias("n"))
-    main = by_label.groupBy("by_bucket", "team").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    main = main.where("main.n < n").select("by_bucket", "team", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("outer"))
-    blocks = teams.join(main, ["by_bucket", "team"])
-    hashed = F.xxhash64("doc")
-    # blocks from 0 hold what is apart, those after them the main group, which is not compared with itself
-    blocks = blocks.withColumn("block", F.when(F.col("label") == F.col("main"), F.col("outer") + F.pmod(hashed, F.col("inner"))).otherwise(F.pmod(hashed, F.col("outer"))).cast("int"))
-    last = F.when(F.col("label") == F.col("main"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    blocks = blocks.select("doc", "team", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "by_bucket")
-    teams = small.unionByName(blocks).join(full.withColumnRenamed("doc_id", "doc"), "doc")
-    extra = teams.groupBy("by_bucket", "team", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    grouped = written(components(written(links.union(extra), "links")), "groups")
+    full = docs.mapInArrow(_full_sets(shared), "doc_id long, print binary, set binary").join(own.join(met, "doc_id", "left_semi"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    full = written(full.select("doc_id", "n_shingles", "signature", "set"), "sets")
+
+    # an id that stands for several texts links their classes
+    links = [written(usable.join(classes, "print").where("doc_id <> doc").join(_several(usable), "doc_id", "left_semi").select("doc_id", "doc").distinct().toDF("a", "b"), "links")]
+    tested = None
+    for _ in range(PIVOTS):
+        members = _labelled(buckets, links)
+        pairs = members.where("label <> main").groupBy("bucket", "label", "pivot").agg(F.min("doc").alias("a")).select("a", F.col("pivot").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs.groupBy("a").agg(F.min("b").alias("b")), "pairs")
+        links.append(written(_linked(pairs, full, percent), "links"))
+        tested = pairs if tested is None else tested.union(pairs)
+        drop_written(members)
+    members = _labelled(buckets, links)
+    links.append(written(_apart(members, full, percent), "links"))
+    grouped = components(reduce(DataFrame.union, links))
 
     joined = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left").join(grouped.withColumnRenamed("node", "doc"), "doc", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id"))
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    out = written(out.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))), "groups")
+    for table in (signed, classes, buckets, full, members, grouped, *links, *([tested] if tested is not None else [])):
+        drop_written(table)
+    return out
+
+
+def _several(usable: DataFrame) -> DataFrame:
+    """The ids that stand for more than one text."""
+    return usable.groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select("doc_id")
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of df whose document is the least of its group; rows with a null id stay."""
-    gone = near_duplicates(df, key, text, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    return without(df, near_duplicates(df, key, text, percent).where(~F.col("kept")).select("doc_id").distinct(), key)
