@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,29 @@ def test_lookup_equals_filter(spark, tmp_path):
     assert got == sorted((r["k"], r["page_id"] or -1) for r in all_keys if r["k"] in wanted)
 
 
+def test_blocks_close_by_bytes_and_hot_urls_spread(spark, tmp_path):
+    rows = [(i, "https://hot.example/%41?a=%0A", f"{i} " + "x" * 50_000) for i in range(120)] + [(1000 + i, f"https://cold.example/{i}", "c" * 3_000_000) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = warc.write_archives(warc.captures(df), f"file://{tmp_path}/d", partitions=3, block_bytes=1 << 20)
+    assert made.where("first_key like 'example,hot%'").count() >= 6 and made.agg(F.max("n")).first()[0] <= 21
+    got = sorted((r["page_id"], r["url"]) for r in warc.lookup(df, made).collect())
+    assert got == sorted((r[0], r[1]) for r in rows)
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "d").glob("*.warc.gz")))
+    heads = [m.split(b"\r\n\r\n")[0].decode() for m in warc._members(raw)]
+    assert len({re.search("WARC-Record-ID: (.*)", h).group(1) for h in heads}) == len(rows)
+    # any reader sees the URL as it was captured
+    assert sum("WARC-Target-URI: https://hot.example/%41?a=%0A\r" in h for h in heads) == 120
+    revisits = [h for h in heads if "WARC-Type: revisit" in h]
+    assert len(revisits) == 3 and all("WARC-Refers-To-Target-URI: https://cold.example/3\r" in h for h in revisits)
+
+
+def test_lookup_of_all_pages_reads_all(spark, tmp_path):
+    rows, df = pages(spark)
+    made = warc.write_archives(warc.captures(df), f"file://{tmp_path}/e", partitions=4, block_lines=5)
+    got = [tuple(r) for r in warc.lookup(df, made).drop("key").collect()]
+    assert sorted(got, key=key) == sorted(brute(rows, 1000), key=key)
+
+
 def test_empty_table(spark, tmp_path):
     _, df = pages(spark)
     made = warc.write_archives(warc.captures(df.limit(0)), f"file://{tmp_path}/c")

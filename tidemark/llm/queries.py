@@ -48,9 +48,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back from them through their index."""
-    directory = warc.write_archives(warc.captures(_table(spark, sf_dir, "pages")))
-    return warc.read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page written to archives, looked up there by its URL and read back."""
+    pages = _table(spark, sf_dir, "pages")
+    directory = warc.write_archives(warc.captures(pages))
+    return warc.lookup(pages, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
