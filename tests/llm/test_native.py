@@ -70,6 +70,19 @@ def test_stuffed_words_without_symbols_are_rejected(spark):
     assert [out[i]["n_distinct_words"] for i in range(400)] == [len(set(t.split(" "))) for t in rows]
 
 
+def test_covering_goes_on_after_a_rule_that_is_not_believed():
+    rnd = random.Random(2)
+    row = lambda **given: {name: given.get(name, rnd.random()) for name in quality_rules.FEATURES}
+    rows = [(row(words=rnd.random(), symbol_share=0.0, mark_share=0.0), False) for _ in range(900)]
+    # many bad rows in a region that good ones share, few in one of their own
+    rows += [(row(words=0.5 + rnd.random() / 20, symbol_share=0.0, mark_share=0.0), True) for _ in range(60)]
+    rows += [(row(symbol_share=0.0, mark_share=0.5 + rnd.random()), True) for _ in range(30)]
+    rnd.shuffle(rows)
+    rules = quality_rules.learn_rules(rows)
+    covered = [bad for f, bad in rows if any(r.covers(f) for r in rules)]
+    assert sum(covered) >= 28 and sum(covered) >= 0.97 * len(covered)
+
+
 def test_repeated_keys_count_once(spark, monkeypatch):
     text = "plain words that say number {} and go on for a while until the line has said enough of it all and ends here"
     rows = [(0, text.format(f"n{i}")) for i in range(300)] + [(0, "short")] + [(i, text.format(i)) for i in range(1, 41)]

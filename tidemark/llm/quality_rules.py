@@ -136,7 +136,8 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float
     """The decision list of labelled rows (features, is it bad?), by sequential covering. No bad rows, no rules.
 
     A rule's evidence is the chance that as many of the rows it covers are bad if it says nothing about them, times
-    the tests it was chosen from: over max_chance it is not believed. So few hits count where bad rows are rare.
+    the tests it was chosen from: over max_chance it is not believed. So few hits count where bad rows are rare. The bad
+    rows of a rule that is not believed are set aside, and covering goes on with the others.
     """
     grow = [r for i, r in enumerate(rows) if i % 3]
     prune = [r for i, r in enumerate(rows) if not i % 3]
@@ -148,7 +149,8 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float
         chosen = {*values[::step], *bad[:: max(1, len(bad) // cuts)]}
         tests += [(name, above, at) for at in sorted(chosen) for above in (True, False)]
     out: list[Rule] = []
-    while len(out) < max_rules:
+    aside: list = []  # bad rows that only rules not believed cover
+    for _ in range(2 * max_rules):
         live, conditions = grow, []
         while len(conditions) < max_conditions:
             p, n = sum(b for _, b in live), sum(not b for _, b in live)
@@ -178,14 +180,17 @@ def learn_rules(rows: list[tuple[dict[str, float], bool]], min_precision: float
 
         options = [Rule(tuple(conditions[:k])) for k in range(len(conditions), 0, -1)]
         rule = max(options, key=lambda r: ((w := worth(r, prune))[0], w[1]))
-        left = grow + prune
+        left = grow + aside + prune
         precision, cover = worth(rule, left)
         chance = len(tests) * by_chance(round(precision * cover), cover, sum(b for _, b in left) / len(left))
         if precision < min_precision or chance > max_chance or worth(rule, prune)[0] < min_precision:
-            break
+            aside += [r for r in grow if r[1] and rule.covers(r[0])]
+            grow = [r for r in grow if not (r[1] and rule.covers(r[0]))]
+            continue
         out.append(rule)
-        grow = [r for r in grow if not rule.covers(r[0])]
-        prune = [r for r in prune if not rule.covers(r[0])]
+        grow, aside, prune = ([r for r in part if not rule.covers(r[0])] for part in (grow, aside, prune))
+        if len(out) == max_rules:
+            break
     return out
 
 
