@@ -1,7 +1,9 @@
 """Operators with trained models: held-out accuracy, brute force and odd inputs."""
 
 import random
+import textwrap
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -35,8 +37,6 @@ def test_ngram_vectors_are_bound_letters():
     v = language_id.Vectors(64)
     grams, counts = v.grams("Aab ab!")
     assert counts.sum() == len("_aab_ab_") - 2
-    import numpy as np
-
     a, b, space = (v.of_letter(ord(c)) if c != " " else v.of_letter(0) for c in "ab ")
     want = {"_aa": (space, a, a), "aab": (a, a, b), "ab_": (a, b, space), "b_a": (b, space, a), "_ab": (space, a, b)}
     total = sum(np.roll(x, 2) * np.roll(y, 1) * z * (2 if k == "ab_" else 1) for k, (x, y, z) in want.items())
@@ -150,6 +150,73 @@ def test_licences_of_every_family(spark, model):
     assert "MIT" in {r["guess"] for r in license_scan.scan(documents(spark, [long]), model).collect()}
 
 
+def scanned(model, text):
+    return next(iter(license_scan._scanned(model, model.tables(), [1], [text], license_scan.LEAST_SIMILARITY)))
+
+
+def test_wrapped_notices_are_paragraphs(model):
+    gpl = license_scan.TEXTS["GPL-3.0"][0]
+    for width in (40, 60, 72):
+        text = "before all this\n\n" + textwrap.fill(gpl, width) + "\n\n" + textwrap.fill(license_scan.TEXTS["MIT"][0], width, initial_indent="# ", subsequent_indent="# ") + "\n\nwords after"
+        rows = scanned(model, text)
+        assert [(r[3], " ".join(text[r[1] : r[2]].split()[:4])) for r in rows] == [("GPL-3.0", "This program is free"), ("MIT", "# Permission is hereby")]
+    whole = "\n\n".join(textwrap.fill(t, 70) for t in license_scan.TEXTS["ISC"])
+    assert {r[3] for r in scanned(model, whole)} == {"ISC"} and len(scanned(model, whole)) == 2
+    buried = "x y " * 400 + "Released under the MIT License. " + "z w " * 400
+    assert {r[3] for r in scanned(model, buried)} == {"MIT"}
+    # a statement wrapped inside a block of other words, and one that no template has
+    inside = "some words of a readme that says a thing\nThis work is licensed under the GNU General\nPublic License, version 2.\nand other words go on here"
+    assert [r[3] for r in scanned(model, inside)] == ["GPL-2.0"]
+    assert not any(r[3] != "unknown" for r in scanned(model, "Licensed under the terms of the Example Software License, version 9, by the license foundation"))
+
+
+def test_scores_and_similarities_equal_brute_force(model):
+    rnd = random.Random(4)
+    every = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    lines = [" ".join(rnd.choice(every).split()[: rnd.randint(1, 40)]) + " " + prose("en", rnd, rnd.randint(0, 30)) for _ in range(60)] + [t for t in texts() if t]
+    words, parts = license_scan.layout("\n".join(lines))
+    number, *_ = tables = model.tables()
+    ids = np.array([number.get(w, -1) for w in words], dtype=np.int64)
+    got = model.probabilities(model.logits(ids, np.array([p.first for p in parts]), np.array([p.last for p in parts]), tables))
+    for p, q in zip(parts, got, strict=True):
+        own = words[p.first : p.last]
+        score = model.weights[-1].astype(float) + sum((model.weights[model.vocabulary[g]].astype(float) for g in license_scan.grams(own) if g in model.vocabulary), np.zeros(len(model.families))) / len(own) ** 0.5
+        want = np.exp(score / model.temperature)
+        assert np.allclose(q, want / want.sum(), atol=1e-5)
+    for text in lines[:40]:
+        own = license_scan.tokens(text)
+        for family in ("MIT", "GPL-3.0", "CC0", "BSD"):
+            best = 0.0
+            templates = [license_scan.tokens(t) for t in license_scan.TEMPLATES[family]]
+            if len(license_scan.TEXTS[family]) > 1:
+                templates.append([w for t in license_scan.TEXTS[family] for w in license_scan.tokens(t)])
+            for t in templates:
+                ref = {tuple(t[i : i + 3]) for i in range(max(1, len(t) - 2))}
+                mine = [tuple(own[i : i + 3]) for i in range(max(1, len(own) - 2))]
+                hits = [i for i, x in enumerate(mine) if x in ref]
+                if hits:
+                    span = set(mine[min(hits) : max(hits) + 1])
+                    best = max(best, len(span & ref) / len(span | ref))
+            assert license_scan.similarity(family, own) == best
+
+
+def test_families_that_were_not_learned_are_unknown(monkeypatch):
+    rnd = random.Random(7)
+    unknown = ("Zlib", "EPL-2.0", "OFL-1.1")
+    texts_ = [t for f in unknown for t in license_scan.TEMPLATES[f]]
+    monkeypatch.setattr(license_scan, "TEMPLATES", {f: ts for f, ts in license_scan.TEMPLATES.items() if f not in unknown})
+    license_scan._groups.cache_clear()
+    made = license_scan.train([prose(lang, rnd, 30) for lang in SYLLABLES for _ in range(20)])
+    license_scan._groups.cache_clear()
+    assert not [r for t in texts_ for r in scanned(made, t) if r[3] != "unknown"]
+
+
+def test_licence_columns_and_odd_rows(spark, model):
+    df = spark.createDataFrame([(None, "Released under the MIT License.", "x"), (3, None, "y"), (4, "a\n" * 50_000 + "Released under the MIT License.\n" + "word " * 150_000, "z")], "doc_id long, text string, family string")
+    rows = license_scan.scan(df, model).collect()
+    assert {(r["doc_id"], r["family"], r["start"]) for r in rows} == {(None, "MIT", 0), (4, "MIT", 100_000)}
+
+
 def test_shared_shingles_of_short_items():
     assert len(shingles.window_hashes(shingles.word_hashes("a b"), 5)) == 1
     assert len(pa.array([1])) == 1
