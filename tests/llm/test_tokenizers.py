@@ -1,3 +1,5 @@
+import json
+
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -54,3 +56,29 @@ def test_round_trip_equals_both_steps(spark):
     apart = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
     both = sentencepiece_codec.round_trip(docs, model)
     assert sorted(map(tuple, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(tuple, apart.select("doc_id", "ids", "decoded").collect()))
+
+
+def test_other_files_are_left_to_the_libraries(spark):
+    other = public_tokenizers.path("word_bpe_49k.json")
+    rows = [t for t in texts()[:40]]
+    library = Tokenizer.from_file(other)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(documents(spark, rows), other, keep=["doc_id"]).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(rows)}
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert token_counts.is_byte_level(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        assert not token_counts.is_byte_level({**spec, **change})
+    assert sentencepiece_codec.unchanged(PIECES)
+
+
+def test_texts_of_a_megabyte(spark):
+    rows = ["word and other words " * 60_000, "x" * 1_200_000, "é😀 " * 250_000, "1,2;" * 300_000]
+    df = documents(spark, rows)
+    library, model = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, BYTES, keep=["doc_id"]).collect()}
+    both = {r["doc_id"]: r for r in sentencepiece_codec.round_trip(df, PIECES, keep=["doc_id"]).collect()}
+    for i, t in enumerate(rows):
+        assert counts[i] == len(library.encode(t, add_special_tokens=False).ids)
+        ids = model.encode(t, add_eos=True)
+        assert both[i]["ids"] == ids and both[i]["decoded"] == model.decode(ids)

@@ -119,7 +119,7 @@ def fit_prototypes(df: DataFrame, text: str = "text", lang: str = "lang", dimens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = vectors(dimension), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             by_lang: dict[str, list] = {}
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams, counts = own.grams(t)
@@ -143,7 +143,9 @@ def fit_prototypes(df: DataFrame, text: str = "text", lang: str = "lang", dimens
 
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns (or those in keep) with lang_pred and score, the cosine with that language's prototype (0 to 1).
+    """df's columns (or those in keep) with lang_pred and score, the cosine that chose it (0 to 1).
+
+    It is the cosine with the language's prototype less what all prototypes share.
 
     lang_pred is und, with score 0, for null texts, texts without a letter, and where there are no prototypes. Of equal
     cosines the first language in order wins. Columns of df with these names are replaced.
@@ -167,8 +169,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 for part in (full[i : i + TOGETHER] for i in range(0, len(full), TOGETHER)):
                     total = own.bundles([found[i] for i in part]).astype(np.float64)
                     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
-                    best = np.argmax(total @ own_part.T, axis=1)
-                    cosine = np.clip((total * whole[best]).sum(axis=1), 0.0, 1.0)
+                    each = total @ own_part.T
+                    best = np.argmax(each, axis=1)
+                    cosine = np.clip(each[np.arange(len(part)), best], 0.0, 1.0)
                     for i, k, c in zip(part, best.tolist(), cosine.tolist(), strict=True):
                         said[i], score[i] = names[k], c
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(said, pa.string()), pa.array(score, pa.float64())], [f.name for f in schema])

@@ -27,6 +27,16 @@ MEMORY = 65_536
 _MARKED = re.compile("( +[^ ]*)")
 
 
+def unchanged(path: str) -> bool:
+    """Does a model's normalizer leave every character as it is, but for the marker in front and for spaces?
+
+    All of the first plane is tried, and the blocks of others that normal forms change.
+    """
+    blocks = ((1, 0xD800), (0xE000, 0x10400), (0x1D400, 0x1D800), (0x1F100, 0x1F300), (0x2F800, 0x2FA20))
+    text = "".join(chr(c) for a, b in blocks for c in range(a, b) if chr(c) not in (" ", MARK))
+    return sentencepiece.SentencePieceNormalizer(model_file=path).normalize(text) == MARK + text
+
+
 class ChunkTable:
     """Ids of marked words, each segmented once."""
 
@@ -34,7 +44,7 @@ class ChunkTable:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         probe = "".join(self.model.decode(self.model.encode(x)) for x in (" a", "a  b ", "①ﬁ"))
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces) and probe == " aa  b ①ﬁ"
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces) and probe == " aa  b ①ﬁ" and unchanged(path)
         self.end = self.model.eos_id()
         self.blank = self.model.piece_to_id(MARK)  # a marker with nothing after it
         self.seen: dict[str, int] = {}

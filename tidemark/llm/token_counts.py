@@ -36,6 +36,21 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+def is_byte_level(spec: dict) -> bool:
+    """Is a tokenizer file what the merging here stands for: byte-level BPE, cut by that scheme's own pattern, with nothing besides?"""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    return (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and all(c in model["vocab"] for c in byte_alphabet())
+        and spec.get("normalizer") is None
+        and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space")
+        and cut.get("use_regex", True)
+        and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    )
+
+
 class RankMerger:
     """The merges of a byte-level BPE vocabulary file, applied to many sequences at once."""
 
@@ -111,10 +126,19 @@ class RankMerger:
 
 
 class TokenCounter:
-    """Counts of whole texts; distinct chunks and pre-tokens are merged once per task."""
+    """Counts of whole texts; distinct chunks and pre-tokens are merged once per task.
+
+    Files of other kinds than is_byte_level() are counted by the library.
+    """
 
     def __init__(self, path: str):
-        self.merger = RankMerger(path)
+        with open(path, encoding="utf-8") as f:
+            own = is_byte_level(json.load(f))
+        self.merger = RankMerger(path) if own else None
+        self.library = None if own else Tokenizer.from_file(path)
+        if self.library:
+            self.library.no_truncation()
+            self.library.no_padding()
         self.chunks: dict[str, int] = {}
         self.pre: dict[str, int] = {}
 
@@ -154,6 +178,9 @@ class TokenCounter:
 
     def count(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts, "")
+        if self.library:
+            found = self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            return np.array([len(x.ids) for x in found], dtype=np.int64)
         odd = pc.match_substring_regex(texts, _RUN)
         for special in self.merger.specials:
             odd = pc.or_(odd, pc.match_substring(texts, special))
@@ -182,8 +209,8 @@ def counter(path: str) -> TokenCounter:
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512, keep: list[str] | None = None, max_batch_bytes: int = 4 << 20) -> DataFrame:
     """df's columns (or those in keep) with n_bytes, n_tokens and over_limit (n_tokens > limit) added.
 
-    path is a byte-level BPE file of the tokenizers library, readable on every executor; the count is that of
-    encode(text, add_special_tokens=False).ids. A null or empty text has no bytes and no tokens. Rows keep their
+    path is a file of the tokenizers library, readable on every executor; the count is that of
+    encode(text, add_special_tokens=False).ids without truncation or padding. A null or empty text has no bytes and no tokens. Rows keep their
     number; repeated rows each get their count; an empty table gives an empty table. Columns of df with one of the
     three names are replaced. No shuffle; a task holds one slice of a batch and a table of bounded size.
     """
