@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, near_dedup, pii, quality_rules, sentencepiece_codec
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import drop_written, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next; a table that was read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
     for i, (_, stage) in enumerate(STAGES):
@@ -63,5 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i == len(STAGES) - 1:
             return done
         done.write.parquet(path := f"{folder}/{i}")
+        if i:
+            drop_written(docs)
         docs = spark.read.schema(done.schema).parquet(path)
     return docs
