@@ -275,3 +275,17 @@ def test_closed_ends_order_and_summaries(table):
     assert aggregates.described(df.select(F.lit("a").alias("a"))).count() == 0
     pairs = df.agg(F.collect_list("id").alias("a"), F.collect_list("id").alias("b c"))
     assert scalars.rows_of(pairs, "a", "b c").count() == 800
+    hist = aggregates.histogram(df, View1D(V), brushes, DIMS)
+    assert {r["series"] for r in aggregates.series(hist, show_base=False).collect()} == {"brushed"} and aggregates.series(hist).count() == 20
+
+
+def test_prefetched_slices_answer(table):
+    df, rows = table
+    s = Crossfilter(df, {"v": View1D(V), "x": View1D(X), "n": View0D()})
+    s.prefetch()
+    assert set(s._slices) == {"v", "x"} and s.active is None
+    held = s._slices["v"][1]
+    assert s.brush("v", (2.0, 7.0))["n"].first()["value"] == direct(rows, View0D(), {"v": (2.0, 7.0)})[()] and s._slices["v"][1] is held
+    plan = s.brush("v", (3.0, 6.0))["x"]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "InMemoryTableScan" in plan
+    s.close()

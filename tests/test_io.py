@@ -62,6 +62,18 @@ def test_http(spark, tmp_path):
         server.shutdown()
 
 
+def test_sql_server(spark):
+    url = "jdbc:derby:memory:tidemark;create=true"
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(100).select(F.col("id").alias("n"), (F.col("id") % 7).cast("double").alias("v")).write.jdbc(url, "t", "overwrite", options)
+    # Spark's writer quotes names, and Derby is strict about their case
+    query = 'select "n", "v" from t where "n" < 60'
+    whole = readers.sql_server(spark, url, query, **options)
+    parts = readers.sql_server(spark, url, query, ("n", 0, 60, 4), **options)
+    assert whole.count() == parts.count() == 60 and parts.rdd.getNumPartitions() == 4
+    assert cube.build_slice(parts, [Dimension("n", config=BinConfig(0, 60, 6))], [10], View1D(Dimension("v", config=BinConfig(0, 7, 1))), {}, {}).cumulative.where("pixel = 10").agg(F.sum("cum")).first()[0] == 60
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([("2400", None, 3), ("0915", 20, None), ("1430", 10, 1)], "t string, w int, k int")
     out = prepare.complete(prepare.scaled(prepare.filled(prepare.times_of_day(df, ["t"]), ["w"]), ["w"]))

@@ -148,6 +148,12 @@ for _name, _d, _b in (
     query(_name, hist_sql(_d, _b))(lambda spark, sf_dir, d=_d, b=_b: aggregates.histogram(items(spark, sf_dir), View1D(d), b, DIMS))
 
 
+@query("hist_series", f"WITH h AS ({hist_sql(Q, ONE)}) SELECT key, key_start, 'brushed' AS series, value AS rows FROM h UNION ALL SELECT key, key_start, 'base', no_brush FROM h")
+def hist_series(spark, sf_dir):
+    """A chart's two series one below the other."""
+    return aggregates.series(aggregates.histogram(items(spark, sf_dir), View1D(Q), ONE, DIMS))
+
+
 @query("hist_closed", hist_sql(Q, ONE, closed=True))
 def hist_closed(spark, sf_dir):
     """Filters and domains closed at the upper end, as between is."""
@@ -405,6 +411,9 @@ def interaction_log(spark, sf_dir):
     return log.by_dimension().select("dimension", "action", "changes")
 
 
-@query("described", "SELECT column_name AS name FROM (DESCRIBE lineitem)")
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BOOLEAN": "boolean"}
+
+
+@query("described", f"SELECT column_name AS name, CASE column_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())} END AS type, \"null\" = 'YES' AS nullable FROM (DESCRIBE lineitem)")
 def described(spark, sf_dir):
-    return readers.described(items(spark, sf_dir)).select("name")
+    return readers.described(items(spark, sf_dir))

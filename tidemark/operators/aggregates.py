@@ -86,6 +86,13 @@ def shown(df: DataFrame, view: View, brushes: Brushes, dimensions: Mapping[str,
     return row_count(df, brushes, dimensions, closed)
 
 
+def series(data: DataFrame, show_base: bool = True) -> DataFrame:
+    """Chart data as a row for each key and series: "brushed", and "base" unless it is hidden."""
+    keys = [c for c in data.columns if c not in ("no_brush", "value")]
+    named = [("brushed", "value"), *([("base", "no_brush")] if show_base else [])]
+    return data.select(*keys, F.inline(F.array(*(F.struct(F.lit(n).alias("series"), F.col(c).alias("rows")) for n, c in named))))
+
+
 def in_order(data: DataFrame) -> DataFrame:
     """Chart data by its keys, as charts draw it: of a result of any operator here, whose rows are as many as bins."""
     keys = [c for c in ("brush", "pixel", "pixel_x", "pixel_y", "key", "key_x", "key_y") if c in data.columns]
