@@ -318,9 +318,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     links.append(written(_apart(members, full, percent), "links"))
     grouped = components(reduce(DataFrame.union, links))
 
-    joined = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left").join(grouped.withColumnRenamed("node", "doc"), "doc", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    # classes get their groups first, so that rows meet one table; those without a text or an id need none
+    named = classes.join(grouped.withColumnRenamed("node", "doc"), "doc", "left").select("print", F.coalesce("component", "doc").alias("component_id"))
+    out = usable.select("doc_id", "n_shingles", "print").join(named, "print").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("doc_id is null or print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.union(alone)
     out = written(out.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))), "groups")
     for table in (signed, classes, buckets, full, members, grouped, *links, *([tested] if tested is not None else [])):
         drop_written(table)
