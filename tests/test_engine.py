@@ -279,6 +279,18 @@ def test_closed_ends_order_and_summaries(table):
     assert {r["series"] for r in aggregates.series(hist, show_base=False).collect()} == {"brushed"} and aggregates.series(hist).count() == 20
 
 
+def test_fused_charts_equal_single_ones(table):
+    df, _ = table
+    views, brushes = {"n": View0D(), "x": View1D(X), "xw": View2D(X, W)}, {"x": (-0.5, 0.75), "v": (1.0, 8.0)}
+    for closed in (False, True):
+        charts = fused.fused_charts(fused.fused_totals(df, views, brushes, DIMS, closed), views)
+        for name, got in charts.items():
+            want = aggregates.shown(df, views[name], brushes, DIMS, closed)
+            assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    empty = fused.fused_charts(fused.fused_totals(df.limit(0), views, {}, DIMS), views)
+    assert tuple(empty["n"].first()) == (0, 0) and empty["x"].count() == 4
+
+
 def test_prefetched_slices_answer(table):
     df, rows = table
     s = Crossfilter(df, {"v": View1D(V), "x": View1D(X), "n": View0D()})

@@ -265,6 +265,22 @@ def fused_index(spark, sf_dir):
     return fused.fused_counts(items(spark, sf_dir), [Q], [50], _FUSED, _OTHER, DIMS)
 
 
+def _charts_sql() -> str:
+    parts = []
+    for name, view in _FUSED.items():
+        keys = [idx(val(d), d.config) for d in view.dimensions] + ["0"] * (2 - len(view.dimensions))
+        inside = " AND ".join(["TRUE", *(rng(val(d), d.config.start, d.config.stop) for d in view.dimensions)])
+        keep = where(TWO, {d.name for d in view.dimensions})
+        parts.append(f"SELECT '{name}' AS view, CAST({keys[0]} AS INTEGER) AS key_x, CAST({keys[1]} AS INTEGER) AS key_y, count(*) AS no_brush, count(*) FILTER (WHERE {keep}) AS value FROM lineitem WHERE {inside} GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
+@query("fused_charts", _charts_sql())
+def fused_charts(spark, sf_dir):
+    """The chart data of all views, with and without brushes, from one scan."""
+    return fused.fused_totals(items(spark, sf_dir), _FUSED, TWO, DIMS)
+
+
 @query("session_brush", brush_sql([Q], [600], View1D(P), ONE, [(120, 420)]))
 def session_brush(spark, sf_dir):
     """A session in which one view is brushed, then another."""

@@ -12,7 +12,7 @@ from tidemark.functions.binning import ordered
 from tidemark.operators.aggregates import shown, with_bins
 from tidemark.operators.cube import coarser
 from tidemark.operators.lookup import brushed_counts, cleared, edges
-from tidemark.plans.fused import fused_counts, fused_slices
+from tidemark.plans.fused import fused_charts, fused_counts, fused_slices, fused_totals
 from tidemark.plans.runner import Runner
 from tidemark.spec import Config, CubeSlice, Dimension, Interval, View, View1D, View2D
 
@@ -38,6 +38,7 @@ class Crossfilter:
         self.active: str | None = None
         self._slices: dict[str, tuple[tuple[int, ...], DataFrame, dict[str, CubeSlice]]] = {}
         self._runner: Runner | None = None
+        self._totals: DataFrame | None = None
 
     def _bound(self, view: View) -> View:
         if isinstance(view, View1D):
@@ -48,11 +49,22 @@ class Crossfilter:
 
     def initial(self) -> dict[str, DataFrame]:
         """Chart data of every view, unbrushed."""
-        return {name: shown(self.df, view, {}, self.dimensions, self.config.closed) for name, view in self.views.items()}
+        return self._charts({})
 
     def charts(self) -> dict[str, DataFrame]:
         """Chart data of every view under the brushes, from the table."""
-        return {name: shown(self.df, view, self.brushes, self.dimensions, self.config.closed) for name, view in self.views.items()}
+        return self._charts(self.brushes)
+
+    def _charts(self, brushes: dict[str, Interval]) -> dict[str, DataFrame]:
+        """From one scan for all views: its counts, a row for each bin, are held until the next such call."""
+        self._forget()
+        self._totals = fused_totals(self.df, self.views, brushes, self.dimensions, self.config.closed).persist()
+        return fused_charts(self._totals, self.views)
+
+    def _forget(self) -> None:
+        if self._totals is not None:
+            self._totals.unpersist()
+            self._totals = None
 
     def pixels(self, name: str, progressive: bool = False) -> tuple[int, ...]:
         """The resolution of brushes on a view: its bins while progressive, else about a chart's pixels."""
@@ -199,5 +211,6 @@ class Crossfilter:
     def close(self) -> None:
         if self._runner:
             self._runner.cancel_all()
+        self._forget()
         for name in list(self._slices):
             self._drop(name)
