@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.odd import documents, texts
@@ -211,7 +212,9 @@ def test_threshold_lets_no_group_ride_on_others():
     assert pii._threshold([(0.9, 0, 0), (0.5, 1, 3)], 0.9) == 2.0 and pii._threshold([], 0.9) == 2.0
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("spread", [1 << 28, 40])
+def test_chat_round_trip(spark, monkeypatch, spread):
+    monkeypatch.setattr(chat_format, "SPREAD", spread)
     odd = ["", "\\", "\\\\h", "###", "####", "</turn>", "</turn>\n", "</turn", "\\### Assistant: </turn> ok", "a: b", "é😀\n\n### x", None]
     rows = [(c, t, ("user", "assistant", "sys:tem </turn>", None)[(c + t) % 4], odd[(c * 5 + t) % len(odd)]) for c in range(12) for t in range(c % 6 + 1)]
     rows += [(None, None, "assistant", "lost"), (None, 1, "user", "x"), (3, 0, "assistant", "again"), (3, 0, "assistant", "again")]

@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
+#: Code points of examples that one task makes of a conversation; of a longer one several tasks make a share each.
+SPREAD = 1 << 28
+#: Conversations that are spread, up to which their table is broadcast.
+MOST_BROADCAST = 500_000
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 #: Control strings and what stands for them inside texts; the backslash comes first.
 ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\e"))
@@ -48,13 +54,12 @@ def expand_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     texts are taken as empty; repeated rows are turns of their own; a null conversation id is a conversation. An
     empty table gives an empty one; other columns of df are left out.
     """
-    turns = (
-        df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-        .groupBy("conv")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    )
+    said = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    turns = _spread(said, target).groupBy("conv", "copy", "copies").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     lines = turns.select(
         "conv",
+        "copy",
+        "copies",
         F.transform("turns", lambda t: rendered(t["role"], t["text"])).alias("lines"),
         F.filter(
             F.transform("turns", lambda t, i: F.struct((i + 1).alias("upto"), (t["role"] == target).alias("trained"), F.char_length(escape(t["text"])).alias("chars"), F.lit(False).alias("last"))),
@@ -63,8 +68,8 @@ def expand_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     )
     n = F.size("lines")
     tail = F.struct(n.alias("upto"), F.lit(False).alias("trained"), F.lit(0).alias("chars"), F.lit(True).alias("last"))
-    covered = F.coalesce(F.try_element_at(F.col("targets"), F.lit(-1))["upto"] == n, F.lit(False))
-    marked = F.transform("targets", lambda t: t.withField("last", t["upto"] == n))
+    covered = F.coalesce(F.try_element_at(F.col("targets"), F.lit(-1))["upto"] == n, F.lit(False)) | (F.col("copy") > 0)
+    marked = F.transform(F.filter("targets", lambda t, i: i % F.col("copies") == F.col("copy")), lambda t: t.withField("last", t["upto"] == n))
     rows = lines.select("conv", "lines", F.explode(F.when(covered, marked).otherwise(F.concat(marked, F.array(tail)))).alias("t"))
     formatted = F.array_join(F.slice("lines", 1, F.col("t.upto")), "")
     return rows.select("conv", "t", formatted.alias("formatted")).select(
@@ -78,6 +83,24 @@ def expand_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     )
 
 
+def _spread(said: DataFrame, target: str) -> DataFrame:
+    """Turns with copy and copies: those of a conversation whose examples pass SPREAD code points are repeated for each task.
+
+    An example holds all turns before it, so a conversation is one value of a row; its examples, which grow with the square
+    of its turns, are made by as many tasks as their size asks for.
+    """
+    chars = F.char_length("role") + F.char_length("text") + len(OPEN + COLON + CLOSE)
+    sizes = said.groupBy("conv").agg((F.count_if(F.col("role") == target) * F.sum(chars) / 2).alias("made"))
+    long = sizes.where(F.col("made") > SPREAD).select(F.col("conv").alias("long"), F.ceil(F.col("made") / SPREAD).cast("int").alias("copies"))
+    long = written(long, "long")
+    n = long.count()
+    if not n:
+        return said.withColumns({"copy": F.lit(0), "copies": F.lit(1)})
+    side = F.broadcast(long) if n <= MOST_BROADCAST else long
+    dealt = said.join(side, F.col("conv").eqNullSafe(F.col("long")), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("long")
+
+
 def trained_text(examples: DataFrame) -> Column:
     """The plain text under the loss mask of an example."""
     return unescape(F.substr("formatted", F.col("mask_start") + 1, F.col("mask_chars")))
