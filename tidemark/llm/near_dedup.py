@@ -236,9 +236,11 @@ def _labelled(buckets: DataFrame, links: list[DataFrame]) -> DataFrame:
     sizes = buckets.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
     # of equally large groups that with the least member
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("least")).alias("minus"), "label")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
-    main = main.select("bucket", F.col("m.label").alias("main"), (-F.col("m.minus")).alias("pivot"))
+    # written, so that the join below may be split where a bucket is large: no aggregation shares its partitions
+    main = written(main.select("bucket", F.col("m.label").alias("main"), (-F.col("m.minus")).alias("pivot")), "main")
     members = written(buckets.join(main, "bucket"), "members")
-    drop_written(group)
+    for table in (group, main):
+        drop_written(table)
     return members
 
 
@@ -252,19 +254,22 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def _apart(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links between members of a bucket that carry different labels, by pairs of blocks."""
     own = full.select(F.col("doc_id").alias("doc"), "n_shingles", "signature")
-    members = members.select("bucket", "doc", "label", (F.col("label") == F.col("main")).alias("inside")).join(own, "doc")
+    members = members.select("bucket", "doc", "label", (F.col("label") == F.col("main")).alias("inside"))
     sums = lambda inside: F.ceil(F.greatest(F.count_if(inside) / BLOCK, 8 * F.sum(F.when(inside, F.col("n_shingles")).otherwise(0)) / BLOCK_BYTES)).cast("int")
-    counts = members.groupBy("bucket").agg(sums(~F.col("inside")).alias("outer"), sums(F.col("inside")).alias("inner"))
+    sized = members.join(own.drop("signature"), "doc").groupBy("bucket")
+    counts = written(sized.agg(sums(~F.col("inside")).alias("outer"), sums(F.col("inside")).alias("inner")), "counts")
     # blocks from 0 hold what is apart, those after them the largest group, which is not compared with itself
     hashed = F.xxhash64("doc")
     blocks = members.join(counts, "bucket").withColumn("block", F.when(F.col("inside"), F.col("outer") + F.pmod(hashed, F.col("inner"))).otherwise(F.pmod(hashed, F.col("outer"))).cast("int"))
     last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    blocks = blocks.withColumn("last", last).join(own, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     blocks = blocks.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "label", "block", "n_shingles", "signature")
     likely = blocks.groupBy("bucket", "i", "j").applyInArrow(_likely(percent), "bucket long, i int, j int, doc long, label long, block int, n_shingles long")
     # texts that share an id come back with all their sets
     likely = likely.drop("n_shingles").distinct().join(full.withColumnRenamed("doc_id", "doc"), "doc")
-    return likely.groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    links = written(likely.groupBy("bucket", "i", "j").applyInArrow(_compare(percent), "a long, b long"), "links")
+    drop_written(counts)
+    return links
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -315,7 +320,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         tested = pairs if tested is None else tested.union(pairs)
         drop_written(members)
     members = _labelled(buckets, links)
-    links.append(written(_apart(members, full, percent), "links"))
+    links.append(_apart(members, full, percent))
     grouped = components(reduce(DataFrame.union, links))
 
     # classes get their groups first, so that rows meet one table; those without a text or an id need none
