@@ -55,7 +55,12 @@ def expand_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     empty table gives an empty one; other columns of df are left out.
     """
     said = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    turns = _spread(said, target).groupBy("conv", "copy", "copies").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    gathered = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    dealt = _spread(said, target)
+    if dealt is None:  # grouped by conversation alone, so that later work by conversation needs no other shuffle
+        turns = said.groupBy("conv").agg(gathered).withColumns({"copy": F.lit(0), "copies": F.lit(1)})
+    else:
+        turns = dealt.groupBy("conv", "copy", "copies").agg(gathered)
     lines = turns.select(
         "conv",
         "copy",
@@ -83,11 +88,11 @@ def expand_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     )
 
 
-def _spread(said: DataFrame, target: str) -> DataFrame:
+def _spread(said: DataFrame, target: str) -> DataFrame | None:
     """Turns with copy and copies: those of a conversation whose examples pass SPREAD code points are repeated for each task.
 
-    An example holds all turns before it, so a conversation is one value of a row; its examples, which grow with the square
-    of its turns, are made by as many tasks as their size asks for.
+    None if there is no such conversation. An example holds all turns before it, so a conversation is one value of a row;
+    its examples, which grow with the square of its turns, are made by as many tasks as their size asks for.
     """
     chars = F.char_length("role") + F.char_length("text") + len(OPEN + COLON + CLOSE)
     sizes = said.groupBy("conv").agg((F.count_if(F.col("role") == target) * F.sum(chars) / 2).alias("made"))
@@ -95,7 +100,7 @@ def _spread(said: DataFrame, target: str) -> DataFrame:
     long = written(long, "long")
     n = long.count()
     if not n:
-        return said.withColumns({"copy": F.lit(0), "copies": F.lit(1)})
+        return None
     side = F.broadcast(long) if n <= MOST_BROADCAST else long
     dealt = said.join(side, F.col("conv").eqNullSafe(F.col("long")), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return dealt.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("long")
